@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tokenloom.llm import chat, mixing, token_counts, token_output
+from tokenloom.llm import chat, decontamination, gif_media, mixing, token_counts, token_output, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +24,18 @@ def op1_token_output(spark, sf_dir):
     return token_output.op1(spark, _read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontamination.op4(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_media(spark, sf_dir):
+    return gif_media.op5(spark, _read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.op6(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.op7(spark, _read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -37,7 +49,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_output, op7_token_counts, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op4_decontamination, op5_media, op6_toxicity, op7_token_counts, op9_chat_formatting, op10_mixing)}
 
 
 def oracle_sql():
