@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # rows are handled in slices of about so many bytes; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # rows are handled in slices of about so many bytes; one longer text is a slice of its own
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240229)
@@ -79,7 +79,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             _tables[name] = np.multiply.accumulate(steps)
-        if size > 4 * SLICE_BYTES:  # of one very long text: not kept
+        if size > 16 * SLICE_BYTES:  # of one very long text: not kept
             return _tables.pop("power"), _tables.pop("inverse")
     return _tables["power"], _tables["inverse"]
 

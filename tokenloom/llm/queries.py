@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tokenloom.llm import chat, decontamination, gif_media, mixing, token_counts, token_output, toxicity
+from tokenloom.llm import chat, decontamination, gif_media, mixing, near_dedup, token_counts, token_output, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -40,6 +40,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.op7(spark, _read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.op8(spark, _read(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark, sf_dir):
     return chat.op9(spark, _read(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_output, op4_decontamination, op5_media, op6_toxicity, op7_token_counts, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op4_decontamination, op5_media, op6_toxicity, op7_token_counts, op8_near_dedup, op9_chat_formatting, op10_mixing)}
 
 
 def oracle_sql():
