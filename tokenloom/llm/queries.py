@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tokenloom.llm import chat, decontamination, gif_media, mixing, near_dedup, repeated_passages, token_counts, token_output, toxicity
+from tokenloom.llm import chat, decontamination, gif_media, lm_scoring, mixing, near_dedup, repeated_passages, token_counts, token_output, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_repeated_passages(spark, sf_dir):
     return repeated_passages.op2(spark, _read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm_scoring.op3(spark, _read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return decontamination.op4(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -56,8 +60,14 @@ def op10_mixing(spark, sf_dir):
     return mixing.op10(spark, _read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_output, op2_repeated_passages, op4_decontamination, op5_media, op6_toxicity, op7_token_counts, op8_near_dedup, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (pipeline, op1_token_output, op2_repeated_passages, op3_lm_scoring, op4_decontamination, op5_media, op6_toxicity, op7_token_counts, op8_near_dedup, op9_chat_formatting, op10_mixing)}
 
 
 def oracle_sql():
