@@ -1,0 +1,227 @@
+"""The tokenizer: one object for single texts in Python, and for DataFrame columns."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tokenloom.functions.chars import is_placeholder
+from tokenloom.operators import annotate, native
+from tokenloom.operators.bpe import BPE, read_vocabulary
+from tokenloom.operators.casing import lowered
+from tokenloom.operators.segmenter import segment
+from tokenloom.operators.spm import SentencePiece
+from tokenloom.operators.subword import SubwordEncoder
+from tokenloom.operators.token import TOKEN_SCHEMA, Token
+from tokenloom.options import Options
+
+_seed = random.Random()
+
+
+def set_random_seed(seed: int) -> None:
+    """Of dropout in this process. Columns take their own seed and draw by row, so that reruns agree on any cluster."""
+    _seed.seed(seed)
+
+
+class Tokenizer:
+    """Made from a mode and options, from Options, or from another tokenizer; with at most one subword encoder."""
+
+    def __init__(
+        self, mode: str | Options | Tokenizer = "conservative", *, encoder: SubwordEncoder | None = None, bpe_model_path: str = "", bpe_vocab_path: str = "", bpe_vocab_threshold: int = 50,
+        bpe_dropout: float = 0.0, vocabulary: Iterable[str] | None = None, vocabulary_path: str = "", vocabulary_threshold: int = 0, sp_model_path: str = "", sp_nbest_size: int = 0,
+        sp_alpha: float = 0.1, **options,
+    ) -> None:
+        if isinstance(mode, Tokenizer):
+            self.options, self.encoder = mode.options, mode.encoder
+            return
+        self.options = mode if isinstance(mode, Options) else Options(mode=mode, **options)
+        if sp_model_path:
+            encoder = SentencePiece(sp_model_path, sp_nbest_size, sp_alpha)
+        elif bpe_model_path:
+            encoder = BPE(bpe_model_path, bpe_dropout)
+        self.encoder = encoder
+        if encoder is not None:
+            self.options = encoder.adapt(self.options)
+            if isinstance(encoder, BPE) and not encoder.vocabulary:
+                encoder.options = self.options
+            if vocabulary is not None and not isinstance(vocabulary, str):
+                encoder.set_vocabulary(vocabulary, self.options)
+            elif vocabulary_path:
+                encoder.set_vocabulary(read_vocabulary(vocabulary_path, vocabulary_threshold), self.options)
+            elif bpe_vocab_path:
+                encoder.set_vocabulary(read_vocabulary(bpe_vocab_path, bpe_vocab_threshold), self.options)
+
+    def __copy__(self) -> Tokenizer:
+        return Tokenizer(self)
+
+    def __deepcopy__(self, _memo) -> Tokenizer:
+        return Tokenizer(self)
+
+    def with_encoder(self, encoder: SubwordEncoder | None) -> Tokenizer:
+        return Tokenizer(self.options, encoder=encoder)
+
+    # single texts
+
+    def tokens(self, text: str, training: bool = True, alphabets: Counter | None = None, rng: random.Random | None = None) -> list[Token]:
+        out = segment(text, self.options, alphabets)
+        if self.options.case_feature or self.options.case_markup:
+            for t in out:
+                if not t.is_placeholder():
+                    t.surface, t.casing = lowered(t.surface, self.options.lang)
+        return self.encoder.encode_tokens(out, training, rng or _seed) if self.encoder is not None else out
+
+    def __call__(self, text: str, training: bool = True) -> list[str]:
+        return annotate.serialize(self.tokens(text, training), self.options)[0]
+
+    def tokenize(self, text: str, as_token_objects: bool = False, training: bool = True):
+        made = self.tokens(text, training)
+        return made if as_token_objects else annotate.serialize(made, self.options)
+
+    def tokenize_batch(self, batch_text: Iterable[str], as_token_objects: bool = False, training: bool = True) -> list:
+        return [self.tokenize(text, as_token_objects, training) for text in batch_text]
+
+    def serialize_tokens(self, tokens: list[Token]):
+        return annotate.serialize(tokens, self.options)
+
+    def deserialize_tokens(self, tokens: list[str], features=None) -> list[Token]:
+        """Tokens of the text that the strings stand for: it is segmented anew."""
+        return self.tokens(self.detokenize(tokens, features), training=False)
+
+    def _parsed(self, tokens, features=None) -> tuple[list[Token], list[int] | None]:
+        tokens = list(tokens)
+        return (tokens, None) if tokens and isinstance(tokens[0], Token) else annotate.parse(tokens, features, self.options)
+
+    def detokenize(self, tokens, features=None) -> str:
+        return annotate.detokenize(self._parsed(tokens, features)[0], self.options)
+
+    def detokenize_with_ranges(self, tokens, merge_ranges: bool = False, unicode_ranges: bool = False, features=None):
+        parsed, places = self._parsed(tokens, features)
+        return annotate.detokenize_ranges(parsed, self.options, places, merge=merge_ranges, unicode=unicode_ranges)
+
+    def alphabets(self, text: str) -> dict[str, int]:
+        found: Counter = Counter()
+        segment(text, self.options, found)
+        return dict(found)
+
+    def tokenize_file(self, input_path: str, output_path: str, num_threads: int = 1, verbose: bool = False, training: bool = True, tokens_delimiter: str = " ") -> None:
+        """A local file, line by line. For files of any size see sources.text_files."""
+        self._file(input_path, output_path, lambda line: annotate.write_line(*self.tokenize(line, training=training), tokens_delimiter))
+
+    def detokenize_file(self, input_path: str, output_path: str, tokens_delimiter: str = " ") -> None:
+        self._file(input_path, output_path, lambda line: self.detokenize(*annotate.read_line(line, tokens_delimiter)))
+
+    @staticmethod
+    def _file(input_path: str, output_path: str, f) -> None:
+        try:
+            read = open(input_path, encoding="utf-8", newline="\n")
+        except OSError as e:
+            raise ValueError(f"Failed to open input file {input_path}") from e
+        with read:
+            try:
+                write = open(output_path, "w", encoding="utf-8", newline="\n")
+            except OSError as e:
+                raise ValueError(f"Failed to open output file {output_path}") from e
+            with write:
+                for line in read:
+                    write.write(f(line.removesuffix("\n")) + "\n")
+
+    # columns
+
+    @property
+    def is_native(self) -> bool:
+        """Whether columns of this tokenizer are Catalyst expressions alone."""
+        return self.encoder is None and native.covers(self.options)
+
+    def column(self, text: Column | str, *, training: bool = True, seed: int | None = None, key: Column | str | None = None, tier: str = "auto") -> Column:
+        """array<string> of tokens; null for null. With dropout and a seed, a row draws by (seed, key), so give a key that names it."""
+        text = F.col(text) if isinstance(text, str) else text
+        if tier == "native" or (tier == "auto" and self.is_native):
+            return native.tokens(text, self.options)
+
+        def rows(texts, keys):
+            rngs = (random.Random(f"{seed}:{k}") for k in keys)
+            return [None if x is None else annotate.serialize(self.tokens(x, training, rng=r), self.options)[0] for x, r in zip(texts, rngs, strict=True)]
+
+        return self._udf(rows, text, key, seed, pa.list_(pa.string()), "array<string>")
+
+    def token_column(self, text: Column | str, *, training: bool = True) -> Column:
+        """array<struct> of token objects (TOKEN_SCHEMA)."""
+        kinds = pa.list_(pa.struct([(f.name, {"boolean": pa.bool_(), "string": pa.string()}.get(f.dataType.simpleString(), pa.list_(pa.string()))) for f in TOKEN_SCHEMA]))
+        names = TOKEN_SCHEMA.names
+
+        def rows(texts, _keys):
+            return [None if x is None else [dict(zip(names, t.as_tuple(), strict=True)) for t in self.tokens(x, training)] for x in texts]
+
+        return self._udf(rows, F.col(text) if isinstance(text, str) else text, None, None, kinds, T.ArrayType(TOKEN_SCHEMA))
+
+    def line_column(self, text: Column | str, delimiter: str = " ", *, training: bool = True) -> Column:
+        """The token line: tokens with their features, joined by delimiter."""
+        text = F.col(text) if isinstance(text, str) else text
+        if self.is_native:
+            return native.line(text, self.options, delimiter)
+
+        def rows(texts, _keys):
+            return [None if x is None else annotate.write_line(*self.tokenize(x, training=training), delimiter) for x in texts]
+
+        return self._udf(rows, text, None, None, pa.string(), "string")
+
+    def detokenized(self, tokens: Column | str) -> Column:
+        """Text of an array<string> column."""
+        tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+
+        def rows(lists, _keys):
+            return [None if x is None else self.detokenize(x) for x in lists]
+
+        return self._udf(rows, tokens, None, None, pa.string(), "string")
+
+    def ranges_column(self, tokens: Column | str, *, merge: bool = False, unicode: bool = False) -> Column:
+        """array<struct<token, start, end>> (ends included) of an array<string> column, in bytes or code points."""
+        tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+        kind = pa.list_(pa.struct([("token", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+        def rows(lists, _keys):
+            return [None if x is None else [{"token": k, "start": a, "end": b} for k, (a, b) in self.detokenize_with_ranges(x, merge, unicode)[1].items()] for x in lists]
+
+        return self._udf(rows, tokens, None, None, kind, "array<struct<token: long, start: long, end: long>>")
+
+    def alphabet_column(self, text: Column | str) -> Column:
+        """map<string, long>: characters by script."""
+
+        def rows(texts, _keys):
+            return [None if x is None else list(self.alphabets(x).items()) for x in texts]
+
+        return self._udf(rows, F.col(text) if isinstance(text, str) else text, None, None, pa.map_(pa.string(), pa.int64()), "map<string, long>")
+
+    def _udf(self, rows, column: Column, key, seed, arrow, kind) -> Column:
+        def apply(columns: Iterator) -> Iterator[pa.Array]:
+            for batch in columns:
+                values, keys = batch if isinstance(batch, tuple) else (batch, None)
+                yield pa.array(rows(values.to_pylist(), keys.to_pylist() if keys is not None else [0] * len(values)), arrow)
+
+        if key is not None and seed is not None:
+
+            def both(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+                return apply(columns)
+
+            return F.arrow_udf(both, kind)(column, F.col(key) if isinstance(key, str) else key)
+
+        def one(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return apply(columns)
+
+        made = F.arrow_udf(one, kind)
+        random_draws = (getattr(self.encoder, "dropout", 0) or getattr(self.encoder, "nbest_size", 0)) and seed is None
+        return (made.asNondeterministic() if random_draws else made)(column)
+
+
+def sentencepiece_tokenizer(model_path: str, vocabulary_path: str | None = None, vocabulary_threshold: int = 0, nbest_size: int = 0, alpha: float = 0.1) -> Tokenizer:
+    """A tokenizer that does what the model alone would do."""
+    return Tokenizer("none", sp_model_path=model_path, vocabulary_path=vocabulary_path or "", vocabulary_threshold=vocabulary_threshold, sp_nbest_size=nbest_size, sp_alpha=alpha)
+
+
+__all__ = ["Tokenizer", "is_placeholder", "sentencepiece_tokenizer", "set_random_seed"]
