@@ -5,9 +5,10 @@ labelled k-mers are kept in text order: a sketch that changes with edits and wit
 of their k-mer sequences within the band that THRESHOLD allows gives the matched k-mers M, and they are near duplicates if M / (n1 + n2 - M) >= THRESHOLD.
 
 Equal word sequences are one class before anything is compared, so copies are never paired. In a bucket every text is compared with one hub, the first in a
-seeded order of that sketch and turn, and later with HUBS hubs of those that are in another class by then: as many pairs as texts, while the hubs of 16 sketches tie a family
-together. Turns end with the first that finds no link. Links become classes by minimum labels with pointer jumping over tables in the shared folder. At
-similarity 0.8 a pair misses all of 16 sketches of 2 with a chance of about (1 - 0.64)**16, 8e-8.
+seeded order of that sketch and turn; in later turns with one that is in another class by then, or with HUBS of them where the bucket is small. So a turn compares as many pairs as there
+are texts in buckets, and never all pairs of a group, while TURNS hubs of each of 16 sketches tie a family together. Links become classes by minimum labels with pointer jumping
+over tables in the shared folder. At similarity 0.8 a pair misses all of 16 sketches of 2 with a chance of about (1 - 0.64)**16, 8e-8; a pair of a family of 20 texts whose link is
+its only one is compared all but surely (1e-8), in a family of hundreds a text with one single link may miss it.
 
 Nulls: a null text is an empty one; texts without words are copies of each other. Texts of 1 to 4 words have one k-mer. A null doc_id takes part; the class id is the smallest doc_id of a
 class. Rows repeated in full are copies. Empty table: no rows. Other columns are ignored.
@@ -18,7 +19,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, ragged, slices, span_hash, words, written
 
 SHINGLE, SKETCHES, PICK, THRESHOLD = 5, 16, 2, 0.8
-HUBS = 4  # of a bucket, from the second turn
+TURNS = 3
+HUBS, SMALL = 4, 24  # hubs of a bucket of at most SMALL texts, from the second turn; larger ones have one a turn
 _orders = np.random.default_rng(8).integers(1, 2**62, (SKETCHES, 2), dtype=np.uint64) * U64(2) + U64(1)
 _LAST = U64(2**64 - 1)
 
@@ -196,7 +197,7 @@ def _candidates(crowded: DataFrame, labels: DataFrame | None, turn: int) -> Data
     if labels is not None:
         rows = crowded.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
     place = F.xxhash64("t", "j", F.lit(turn))
-    hubs = rows.groupBy("j", "s", F.pmod(place, F.lit(HUBS if turn else 1)).alias("seat")).agg(F.min(F.struct(place.alias("place"), "t", "label")).alias("hub"))
+    hubs = rows.groupBy("j", "s", F.pmod(place, F.when((F.col("n") <= SMALL) & F.lit(turn > 0), HUBS).otherwise(1)).alias("seat")).agg(F.min(F.struct(place.alias("place"), "t", "label")).alias("hub"))
     pairs = rows.join(hubs, ["j", "s"]).filter(F.col("label") != F.col("hub.label"))
     return pairs.select(F.least("t", "hub.t").alias("a"), F.greatest("t", "hub.t").alias("b")).distinct()
 
@@ -206,12 +207,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keys = written(text_keys(docs, id_col=id_col, text_col=text_col), "keys")
     texts = written(keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")), "texts")
     spread = texts.filter("size(sketches) > 0").select(F.struct("k1", "k2").alias("t"), F.posexplode("sketches").alias("j", "s"))
-    shared = spread.groupBy("j", "s").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = spread.groupBy("j", "s").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = written(spread.join(shared, ["j", "s"]), "crowded")  # members of buckets that hold several texts
     wanted = crowded.select("t.k1", "t.k2").distinct()
     sequences = written(_sequences(docs, id_col, text_col).join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(F.struct("k1", "k2").alias("t"), "seq"), "sequences")
     links, tested, labels = [], [], None
-    for turn in count():
+    for turn in range(TURNS):
         pairs = _candidates(crowded, labels, turn)
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
