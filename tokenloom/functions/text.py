@@ -68,7 +68,8 @@ def substituted(text: Column | str) -> Column:
 
 
 def to_hex(value: Column | str, width: int = 4) -> Column:
-    return F.lpad(F.lower(F.hex(_c(value))), width, "0")
+    digits = F.lower(F.hex(_c(value)))
+    return F.when(F.char_length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
 
 def from_hex(text: Column | str) -> Column:

@@ -6,6 +6,9 @@ Join marks then need the neighbours in the array alone: no shuffle, no row explo
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,8 +127,6 @@ def annotated(lex: Column, o: Options) -> Column:
 
 def strings(marked: Column, o: Options) -> Column:
     """array<string>: the tokens with their joiners or spacers."""
-    if not (o.joiner_annotate or o.spacer_annotate):
-        return F.filter(F.transform(marked, lambda t: t["surface"]), lambda s: s != "")
 
     def made(rows: Column) -> Column:
         def one(p: Column) -> Column:
@@ -145,6 +146,21 @@ def strings(marked: Column, o: Options) -> Column:
     return _let(marked, made)
 
 
+CONTROLS = "".join(map(chr, range(1, 32))) + "\ufeff"
+
+
+def _plain(text: Column, o: Options) -> Column:
+    """Tokens without marks between them: units alone, each cleaned by one translation."""
+    unit = f"\\p{{Z}}+(?!\\p{{M}})|{_unit(o)}" if o.with_separators else _unit(o)
+    source, target = ("", "") if o.no_substitution else ("".join(SUBSTITUTES), "".join(SUBSTITUTES.values()))
+
+    def clean(x: Column) -> Column:
+        kept = F.when(x.startswith(OPEN) | x.rlike("^\\p{Z}\\p{M}"), _escaped(F.translate(x, CONTROLS, ""), o))
+        return kept.otherwise(F.translate(x, source + CONTROLS, target))
+
+    return F.filter(F.transform(F.regexp_extract_all(_first(text), F.lit(unit), F.lit(0)), clean), lambda s: s != "")
+
+
 def tokens(text: Column, o: Options) -> Column:
     if o.mode == "none":
         pieces = F.regexp_extract_all(_first(text), F.lit(f"(?s){OPEN}.*?(?:{CLOSE}|\\z)|[^{OPEN}]+"), F.lit(0))
@@ -153,6 +169,8 @@ def tokens(text: Column, o: Options) -> Column:
         pieces = F.regexp_extract_all(_first(text), F.lit(f"(?s){OPEN}.*?(?:{CLOSE}|\\z)|[^{OPEN}\\p{{Z}}]+"), F.lit(0))
         plain = F.transform(pieces, lambda p: F.when(p.startswith(OPEN), _escaped(p, o)).otherwise(_substituted(F.regexp_replace(p, "￨.*$", ""), o)))
         return F.filter(plain, lambda p: p != "")
+    if not (o.joiner_annotate or o.spacer_annotate):
+        return _plain(text, o)
     return strings(annotated(lexemes(text, o), o), o)
 
 
@@ -228,14 +246,26 @@ def detokenize(toks: Column, o: Options) -> Column:
 
 
 def ranges(toks: Column, o: Options, *, unicode: bool = False) -> Column:
-    """array<struct<token, start, end>> of tokens that show, in bytes or code points; ends are included."""
-    size = F.char_length if unicode else F.octet_length
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<token:int,start:bigint,end:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["lead"]
-        end = begin + size(x["text"])
-        here = F.struct(x["place"].alias("token"), begin.alias("start"), (end - 1).alias("end"))
-        return F.struct(end.alias("at"), F.when(x["text"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(here))).alias("out"))
-
-    return F.aggregate(spaced(join_flags(toks, o), o), start, step, lambda s: s["out"])
+    """array<struct<token, start, end>> of tokens that show, in bytes or code points; ends are included.
+
+    Running sums over arrays of any length: whole Arrow batches at once (a fold in SQL would copy its growing array for every token).
+    """
+    return F.arrow_udf(_running_ranges(unicode), "array<struct<token: int, start: bigint, end: bigint>>")(spaced(join_flags(toks, o), o))
+
+
+def _running_ranges(unicode: bool):
+    def sums(rows: pa.Array) -> pa.Array:
+        flat, edges = rows.flatten(), np.append(0, np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+        texts = flat.field("text")
+        size = (pc.utf8_length(texts) if unicode else pc.binary_length(texts)).to_numpy(zero_copy_only=False).astype(np.int64)
+        lead = flat.field("lead").to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.append(0, np.cumsum(size + lead))
+        base = np.repeat(end[edges[:-1]], np.diff(edges))
+        stop = end[1:] - base
+        shows = size > 0
+        kept = np.append(0, np.cumsum(shows))[edges]
+        place = flat.field("place").to_numpy(zero_copy_only=False).astype(np.int32)
+        made = pa.StructArray.from_arrays([pa.array(place[shows]), pa.array((stop - size)[shows]), pa.array((stop - 1)[shows])], names=["token", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), made, mask=rows.is_null() if rows.null_count else None)
+
+    return sums

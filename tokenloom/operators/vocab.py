@@ -177,7 +177,7 @@ def resize(table: DataFrame, maximum_size: int = 0, minimum_frequency: int = 1)
     kept = table.filter(F.col("frequency") >= minimum_frequency)
     by = [F.desc("frequency"), F.col("id")]
     if maximum_size:
-        special = kept.filter(F.col("frequency") == MOST).count()
+        special = kept.filter(F.col("frequency") == F.lit(Decimal(MOST))).count()
         kept = kept.orderBy(*by).limit(max(maximum_size, special))
     return _numbered(kept.withColumnRenamed("id", "_old"), [F.desc("frequency"), F.col("_old")]).select("id", "token", "frequency")
 
