@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, slices, span_hash, words
 
 BITS = 20
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 TRAIN_BYTES = 200_000
 EPOCHS = 5
 LEAST_TEXTS = 5  # a feature of fewer learned texts has no weight
