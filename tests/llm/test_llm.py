@@ -316,3 +316,39 @@ def test_pipeline(spark, tmp_path):
             assert {r["doc_id"] for r in out.collect()} == set(range(60))
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in final) == Counter(r["doc_id"] for r in out.collect())
+
+
+def test_op8_loses_no_link_of_a_large_bucket(spark):
+    """Many texts that share most passages but are no near duplicates, among them pairs that are: whatever the hubs, every pair is found."""
+    shared = [prose(12, 5000 + k).rstrip(".") for k in range(12)]
+    r = np.random.default_rng(11)
+    texts = [" ".join([*(shared[k] for k in r.permutation(12)[:9]), prose(55, 6000 + i)]) for i in range(90)]
+    texts += [t + f" tail{i}" for i, t in enumerate(texts[:30])]
+
+    def grams(t):
+        w = t.lower().split()
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+    bags = [grams(t) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())}
+    got = {i: c for i, c in rows(near_dedup.op8(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "class_id")}
+    assert want >= {(i, 90 + i) for i in range(30)}
+    assert all(got[a] == got[b] for a, b in want)
+    assert len(set(got.values())) == len(texts) - len(want)  # the pairs of this table have no text in common
+
+
+def test_rest_filters_drop_no_near_duplicate():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a = r.integers(0, r.integers(5, 400), r.integers(1, 300)).astype("<u4")
+        b = a.copy()
+        for at in r.integers(0, len(a), r.integers(0, 1 + len(a) // 10)):
+            b[at] = r.integers(0, 2**32)
+        b = b[: len(b) - int(r.integers(0, 1 + len(b) // 10))]
+        if near_dedup.aligned(a, b) < 0.8:
+            continue
+        x, y = near_dedup._labelled(a), near_dedup._labelled(b)
+        counts = r.integers(0, 9, 64)
+        assert set(near_dedup.first_kmers(x, counts).tolist()) & set(near_dedup.first_kmers(y, counts).tolist())
+        need = 0.8 / 1.8 * (len(a) + len(b))
+        assert sum(int(v).bit_count() for v in (near_dedup.parity(x) ^ near_dedup.parity(y)).view(np.uint64)) <= len(a) + len(b) - 2 * need + 1e-6

@@ -6,9 +6,11 @@ of their k-mer sequences within the band that THRESHOLD allows gives the matched
 
 Equal word sequences are one class before anything is compared, so copies are never paired. In a bucket every text is compared with one hub, the first in a
 seeded order of that sketch and turn; in later turns with one that is in another class by then, or with HUBS of them where the bucket is small. So a turn compares as many pairs as there
-are texts in buckets, and never all pairs of a group, while TURNS hubs of each of 16 sketches tie a family together. Links become classes by minimum labels with pointer jumping
-over tables in the shared folder. At similarity 0.8 a pair misses all of 16 sketches of 2 with a chance of about (1 - 0.64)**16, 8e-8; a pair of a family of 20 texts whose link is
-its only one is compared all but surely (1e-8), in a family of hundreds a text with one single link may miss it.
+are texts in buckets, and never all pairs of a group. Hubs leave pairs of a bucket uncompared, so what TURNS turns leave apart goes to an exact search: all texts of buckets that
+still hold several classes are joined by the first k-mers of each in one common order, rare ones first. Of n labelled k-mers these are n - ceil(THRESHOLD * n) + 1, and two near
+duplicates can't but share one of them; pairs whose sizes or places in that order leave too few k-mers to share are not made, nor pairs whose parity bits (of the number of k-mers hashed to
+each) differ in more places than k-mers may be unmatched, since each unmatched k-mer changes one bit. No pair that shares a bucket is lost. Links become
+classes by minimum labels with pointer jumping over tables in the shared folder. At similarity 0.8 a pair shares none of 16 sketches of 2 with a chance of about (1 - 0.64)**16, 8e-8.
 
 Nulls: a null text is an empty one; texts without words are copies of each other. Texts of 1 to 4 words have one k-mer. A null doc_id takes part; the class id is the smallest doc_id of a
 class. Rows repeated in full are copies. Empty table: no rows. Other columns are ignored.
@@ -22,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, ragged, slices, span_hash, words, written
@@ -30,6 +32,8 @@ from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, rag
 SHINGLE, SKETCHES, PICK, THRESHOLD = 5, 16, 2, 0.8
 TURNS = 3
 HUBS, SMALL = 4, 24  # hubs of a bucket of at most SMALL texts, from the second turn; larger ones have one a turn
+CELLS = 1 << 20  # counts that order k-mers by rarity, at most so many whatever the input
+PARITY = 8  # 64-bit words of a text's parity bits
 _orders = np.random.default_rng(8).integers(1, 2**62, (SKETCHES, 2), dtype=np.uint64) * U64(2) + U64(1)
 _LAST = U64(2**64 - 1)
 
@@ -202,6 +206,74 @@ def _candidates(crowded: DataFrame, labels: DataFrame | None, turn: int) -> Data
     return pairs.select(F.least("t", "hub.t").alias("a"), F.greatest("t", "hub.t").alias("b")).distinct()
 
 
+def _left_apart(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, label) of the texts of buckets that hold several classes; a bucket of two has been compared by its hub."""
+    rows = crowded.filter("n > 2").join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
+    apart = rows.groupBy("j", "s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("j", "s")
+    return rows.join(apart, ["j", "s"]).select("t", "label").distinct()
+
+
+def _labelled(seq: np.ndarray) -> np.ndarray:
+    """k-mers of one text, repeats told apart by their occurrence."""
+    order = np.argsort(seq, kind="stable")
+    run = seq[order]
+    at = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    label = np.arange(len(run)) - np.repeat(at, np.diff(np.append(at, len(run))))
+    return mix(run.astype(np.uint64) + label.astype(np.uint64) * U64(0xA24BAED4963EE407))
+
+
+def first_kmers(k: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The labelled k-mers of which a near duplicate shares one: as many as may be missing, and one more, those of the lowest counts first."""
+    k = k[np.lexsort((k, counts[(k % U64(len(counts))).astype(np.int64)]))]
+    return k[: len(k) - int(np.ceil(threshold * len(k) - 1e-9)) + 1]
+
+
+def parity(k: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * PARITY classes of labelled k-mers: whether their number is odd."""
+    odd = np.bincount((k >> U64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that may be near duplicates, from rest (t, label, seq)."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for seq in batch.column(0):
+                sums += np.bincount((_labelled(np.frombuffer(seq.as_py(), "<u4")) % U64(CELLS)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(sums)
+        for a in range(0, len(used), 1 << 16):
+            some = used[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], names=["cell", "n"])
+
+    table = rest.select("seq").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    held = rest.sparkSession.sparkContext.broadcast(counts)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_labelled(np.frombuffer(seq.as_py(), "<u4")) for seq in batch.column(4)]
+            found = [first_kmers(k, held.value, threshold) for k in texts]
+            n = np.array([len(f) for f in found])
+            own = batch.select([0, 1, 2, 3]).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            sizes, bits = np.repeat([len(k) for k in texts], n).astype(np.int32), np.repeat(np.stack([parity(k) for k in texts]), n, 0)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found).view(np.int64)), pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=names)
+
+    flat = rest.select("t.k1", "t.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "seq")
+    bits = [f"p{c}" for c in range(PARITY)]
+    names = ["k1", "k2", "l1", "l2", "kmer", "place", "size", *bits]
+    rows = flat.mapInArrow(firsts, ", ".join(f"{c} {'int' if c in ('place', 'size') else 'long'}" for c in names))
+    rows = written(rows.select(F.struct("k1", "k2").alias("t"), F.struct("l1", "l2").alias("label"), "kmer", "place", "size", *bits), "firsts")
+    left, right = rows.alias("x"), rows.alias("y")
+    need = threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    may = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + F.least("x.place", "y.place") >= need
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits])
+    fits = (F.col("x.t") < F.col("y.t")) & (F.col("x.label") != F.col("y.label")) & may & (differ <= F.col("x.size") + F.col("y.size") - 2 * need)
+    return left.join(right, (F.col("x.kmer") == F.col("y.kmer")) & fits).select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, class_id (smallest id of the class), copies (rows of this very word sequence), n_links (verified links of this text), for each row of docs."""
     keys = written(text_keys(docs, id_col=id_col, text_col=text_col), "keys")
@@ -212,17 +284,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = crowded.select("t.k1", "t.k2").distinct()
     sequences = written(_sequences(docs, id_col, text_col).join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(F.struct("k1", "k2").alias("t"), "seq"), "sequences")
     links, tested, labels = [], [], None
-    for turn in range(TURNS):
-        pairs = _candidates(crowded, labels, turn)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among pairs that have not been compared before."""
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        tested.append(pairs)
         # each pair with two texts' hashes; a hub's rows are split by adaptive skew handling
         both = pairs.join(sequences.select(F.col("t").alias("a"), F.col("seq").alias("left")), "a").join(sequences.select(F.col("t").alias("b"), F.col("seq").alias("right")), "b")
-        found = written(both.filter(F.arrow_udf(_similarity, "double")("left", "right") >= threshold).select("a", "b"), "links")
-        tested.append(pairs)
+        return written(both.filter(F.arrow_udf(_similarity, "double")("left", "right") >= threshold).select("a", "b"), "links")
+
+    for turn in range(TURNS):
+        found = compared(_candidates(crowded, labels, turn))
+        links.append(found)
+        labels = components(reduce(DataFrame.union, links))
         if turn and found.isEmpty():
             break
+    rest = written(_left_apart(crowded, labels).join(sequences, "t"), "rest")
+    found = compared(_rest_pairs(rest, threshold))
+    if not found.isEmpty():
         links.append(found)
         labels = components(reduce(DataFrame.union, links))
     links = reduce(DataFrame.union, links)
