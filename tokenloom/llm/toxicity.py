@@ -2,8 +2,8 @@
 
 Features of a text: its distinct words, pairs of neighbouring words, and pairs with one word between, A-Z in lower case, hashed to 2**BITS places. FTRL-proximal
 keeps a learning rate for each place and sets most weights to exactly 0 (L1), so the model is a short list of places and weights. It is
-fitted on the driver on at most TRAIN_ROWS labelled rows (lowest hashes of doc_id, texts up to TRAIN_BYTES bytes): that bounds both what the driver holds
-and the weights that closures carry to the workers (at most 2**BITS, some thousand in practice). Scoring is a map over whole texts: no shuffle.
+fitted in one task on at most TRAIN_ROWS labelled rows (lowest hashes of doc_id, texts up to TRAIN_BYTES bytes), which bounds what that task holds; a lost executor
+means that it runs again. The driver sees the weights alone (at most 2**BITS, some thousand in practice), which closures carry to the workers. Scoring is a map over whole texts: no shuffle.
 
 Nulls and empty texts score as a text without words (the bias alone); rows with a null label or doc_id are not learned from. Several labels of one document:
 the highest counts. No usable label: every score is 0. Other columns stay as they are. Empty table: no rows.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, slices, span_hash, words
 
 BITS = 20
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 20_000
 TRAIN_BYTES = 200_000
 EPOCHS = 5
 LEAST_TEXTS = 5  # a feature of fewer learned texts has no weight
@@ -117,8 +117,21 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Mode
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")  # at most `rows` rows are broadcast
-    table = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "toxic").toArrow()
-    return fit(*buffers(table.column(0)), table.column(1).to_numpy().astype(np.float64))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
+    learned = sample.orderBy(*order).limit(rows).coalesce(1).sortWithinPartitions(*order).select(F.col("text"), F.col("toxic").cast("double").alias("toxic"))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).cast(pa.large_string()), b.column(1)) for b in batches]
+        if held:
+            model = fit(*buffers(pa.concat_arrays([text for text, _ in held])), np.concatenate([toxic.to_numpy() for _, toxic in held]))
+            if model.fitted:
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(model.places, -1)), pa.array(np.append(model.weights.astype(np.float64), model.bias))], names=["place", "weight"])
+
+    table = learned.mapInArrow(fitted, "place long, weight double").toArrow()  # place -1: the bias
+    places, weights = table.column(0).to_numpy(), table.column(1).to_numpy()
+    if not len(places):
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
+    return Model(places[places >= 0], weights[places >= 0].astype(np.float32), float(weights[places < 0][0]))
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
