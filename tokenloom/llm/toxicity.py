@@ -11,7 +11,7 @@ the highest counts. No usable label: every score is 0. Other columns stay as the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,23 +70,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def fit(buf: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, *, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal over the rows, epoch after epoch in a seeded order."""
-    if not len(toxic) or toxic.min() == toxic.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
-
-    def distinct() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def fit(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], *, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal over the rows of all parts (bytes, offsets, toxic), epoch after epoch in a seeded order. Of a part its features alone are held."""
+    own: list[np.ndarray] = []
+    marks = [np.zeros(0)]
+    texts = np.zeros(1 << BITS, np.int64)
+    for buf, offsets, marked in parts:
+        marks.append(marked)
         for a, b in slices(offsets):
             at = offsets[a : b + 1]
             rows, places = features(buf[at[0] : at[-1]], at - at[0])
             key = np.unique(rows << BITS | places)
-            yield key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, b - a))
-
-    texts = np.zeros(1 << BITS, np.int64)
-    for places, _ in distinct():
-        texts += np.bincount(places, minlength=1 << BITS)
+            found = (key & ((1 << BITS) - 1)).astype(np.int32)
+            texts += np.bincount(found, minlength=1 << BITS)
+            own += np.split(found, np.searchsorted(key >> BITS, np.arange(1, b - a)))
+    toxic = np.concatenate(marks)
+    if not len(toxic) or toxic.min() == toxic.max():
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
     common = texts >= LEAST_TEXTS
-    own = [x[common[x]].astype(np.int32) for places, edges in distinct() for x in np.split(places, edges)]
+    for k, places in enumerate(own):
+        own[k] = places[common[places]]
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last place is the bias, without L1
 
@@ -121,11 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Mode
     learned = sample.orderBy(*order).limit(rows).coalesce(1).sortWithinPartitions(*order).select(F.col("text"), F.col("toxic").cast("double").alias("toxic"))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).cast(pa.large_string()), b.column(1)) for b in batches]
-        if held:
-            model = fit(*buffers(pa.concat_arrays([text for text, _ in held])), np.concatenate([toxic.to_numpy() for _, toxic in held]))
-            if model.fitted:
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(model.places, -1)), pa.array(np.append(model.weights.astype(np.float64), model.bias))], names=["place", "weight"])
+        model = fit((*buffers(batch.column(0)), batch.column(1).to_numpy()) for batch in batches)
+        if model.fitted:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(model.places, -1)), pa.array(np.append(model.weights.astype(np.float64), model.bias))], names=["place", "weight"])
 
     table = learned.mapInArrow(fitted, "place long, weight double").toArrow()  # place -1: the bias
     places, weights = table.column(0).to_numpy(), table.column(1).to_numpy()
