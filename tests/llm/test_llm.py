@@ -129,6 +129,37 @@ def test_op4(spark, docs, none):
     assert decontamination.without_leaks(every, bench).count() == len(ROWS) + 2
 
 
+def test_op4_finds_items_that_are_mostly_slots(spark):
+    """(item, the same with other values): verbatim and re-parameterised copies are found, each in the document that holds it alone."""
+    made = [
+        ("A train travels 60 miles in 2 hours. How many miles in 5 hours?", "A train travels 70 miles in 3 hours. How many miles in 8 hours?"),
+        ("In 2010, Alice earned 50 dollars a day for 20 days. In 2011, Bob earned 60 dollars a day for 30 days.", "In 1990, Carol earned 7 dollars a day for 9 days. In 1995, Dan earned 8 dollars a day for 11 days."),
+        ("A car drives 120 km in 2 hours, then 90 km in 3 hours. What is its speed in km h?", "A car drives 150 km in 4 hours, then 70 km in 5 hours. What is its speed in km h?"),
+        ("Solve 2x + 3 = 11 for x.", "Solve 5x + 7 = 22 for x."),
+        ("Convert 5 km to miles.", "Convert 9 kg to pounds."),
+        ("Fast facts say: 1 2 3 4 5 6 7 8 9 10 11 12", "Fast facts say: 21 22 23 24 25 26 27 28 29 30 31 32"),
+        ("1 2 3 4 5 6 7 8 9 10 of them are odd ones", "21 22 23 24 25 26 27 28 29 30 of them are odd ones"),
+    ]
+    bench = spark.createDataFrame([(k, item) for k, (item, _) in enumerate(made)] + [(90, "17 19 23"), (91, ""), (92, None)], "item_id long, text string")
+    texts = [(10 * k + c, f"{prose(12, 30 + k)} {text} {prose(12, 60 + k)}") for k, pair in enumerate(made) for c, text in enumerate(pair)]
+    texts += [(900, "Primes. 17 19 23"), (901, "Years. 18 20 24"), (902, " ".join(map(str, range(3000, 6000)))), (903, prose(50, 8))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for limit in (1000, 2):
+        got = {(r["doc_id"], r["item_id"]): r["matched_words"] == r["item_words"] for r in decontamination.leaks(docs, bench, filter_windows=limit).collect()}
+        assert got == {(10 * k + c, k): True for k in range(len(made)) for c in range(2)} | {(900, 90): True}
+
+
+def test_windows_hold_every_word_of_an_item():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        words = [str(r.integers(100)) if r.random() < 0.8 else WORDS[r.integers(300)] for _ in range(r.integers(1, 200))]
+        b = " ".join(words).encode()
+        t = decontamination.Template(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        first, h, size = (np.concatenate(x) for x in zip(t.windows(prune=True), t.whole(), strict=True))
+        assert {w for x, n in zip(first.tolist(), size.tolist(), strict=True) for w in range(x, x + n)} == set(range(len(words)))
+        assert {*h.tolist()} <= {*t.windows()[1].tolist(), *t.short_windows(len(words))[1].tolist()}
+
+
 def test_op5(spark, docs, none):
     got = {(r["doc_id"], r["payload_sha256"]): r for r in gif_media.op5(spark, docs).collect()}
     for i, t, _ in ROWS:

@@ -1,12 +1,15 @@
 """Operator 4: benchmark decontamination by template canonicalisation.
 
-A text is its runs of letters and digits, in lower case; a run with a digit becomes <number>, a unit <unit>, a capitalised run inside a sentence <name>: its template. Windows of
-WINDOW template words are joined by hash with those of the benchmark. Matches of a document and an item that lie on one diagonal (document position minus item position) are
+A text is its runs of letters and digits, in lower case; a run with a digit becomes <number>, a unit <unit> ('a' and 'in' right after a number only), a capitalised run inside a
+sentence <name>: its template. Windows of WINDOW template words, or as many more as it takes to hold PLAIN that are no placeholders, are joined by hash with those of the benchmark. Matches of a document and an item that lie on one diagonal (document position minus item position) are
 kept if their slots agree: each value of the item stands for one and the same value of the document there. An item leaks where such matches cover COVERAGE of its words (and LEAST
 of them, or all): so a question with other numbers, names or units is caught, and a few common words are not.
 
 Where the benchmark has at most FILTER windows, their hashes (8 bytes each) go to the workers, and only windows that match leave them; beyond that, all windows of the documents are
-shuffled to the join. Nothing else depends on that size. Windows with less than PLAIN words that are no placeholders are left out; items shorter than WINDOW match as a whole.
+shuffled to the join. Nothing else depends on that size. A window begins at each word and ends at each word, so every word of an item lies in one, however dense its slots. Items
+shorter than WINDOW, or with less than PLAIN words that are no placeholders, match as a whole by their full template; where that says next to nothing (no plain word, or one among two or
+three words), slots must hold the item's own values. Of an item's windows beyond LONG words (slots in a row) those that hold a smaller one and don't touch its ends are not made: the others
+cover the same words.
 
 Nulls: a null or empty text has no windows; a null id is joined and reported as null. Documents of one id are one document. Empty tables: no rows. Other columns are ignored. Whole
 texts are read, however long.
@@ -26,6 +29,8 @@ from tokenloom.llm._text import BYTE_CODE, LOWER, U64, HashIndex, buffers, byte_
 WINDOW, PLAIN = 5, 3
 COVERAGE, LEAST = 0.5, 10
 FILTER = 2_000_000
+LONG = 64
+CHUNK = 1 << 18  # words of the windows of one batch of rows, about
 UNITS = """mm cm m km in ft yd mi mg g kg lb oz ml l s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years
 inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres
 dollar dollars cent cents euro euros usd eur percent degree degrees hz khz mhz ghz w kw v kv a ma j kj n pa kpa b kb mb gb tb""".split()
@@ -40,6 +45,7 @@ def _word_hash(word: str) -> int:
 
 
 _units = np.sort(np.array([_word_hash(u) for u in UNITS], np.uint64))
+_articles = np.array([_word_hash(u) for u in ("a", "in")], np.uint64)  # units only right after a number
 
 
 class Template:
@@ -75,31 +81,71 @@ class Template:
         new = np.ones(len(h), bool)
         new[1:] = (self.rows[1:] != self.rows[:-1]) | (stop[self.starts[1:]] > stop[self.ends[:-1]])
         name = _upper[np.where(first < 0x800, first, 0)] & ~new & ~number
-        unit &= ~name & ~number
+        after_number = np.zeros(len(h), bool)
+        after_number[1:] = number[:-1] & ~new[1:]
+        unit &= ~name & ~number & (after_number | ~np.isin(h, _articles))
         self.hash = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
         self.slot = number | unit | name
 
-    def windows(self, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, hashes) of windows with enough plain words."""
+        self.plain = np.append(0, np.cumsum(~self.slot))  # words before each that are no placeholders
+        self.begin, self.end = np.searchsorted(self.rows, self.rows), np.searchsorted(self.rows, self.rows, "right")  # of each word's text
+        self.sums = prefix(mix(self.hash))
+
+    def _spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return first, span_hash(*self.sums, first, last), last - first
+
+    def windows(self, longest: int | None = None, prune: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, sizes) of the least windows from each word on and back from each word, of WINDOW words and PLAIN plain ones at least."""
+        n, at = len(self.hash), np.flatnonzero(~self.slot)
+        if n < WINDOW or len(at) < PLAIN:
+            return self._spans(*(np.zeros(0, np.int64),) * 2)
+        k = np.arange(n)
+        third = self.plain[:-1] + PLAIN - 1
+        last = np.maximum(k + WINDOW, np.where(third < len(at), at[np.minimum(third, len(at) - 1)] + 1, n + 1))
+        last[last > self.end] = n + 1  # none
+        third = self.plain[1:] - PLAIN
+        first = np.minimum(k + 1 - WINDOW, np.where(third >= 0, at[np.maximum(third, 0)], -1))
+        back = first >= self.begin
+        back[back] = last[first[back]] != k[back] + 1  # the others are windows from a word on
+        on = last <= n
+        if prune:  # a window from a word on that holds a smaller one: the next word's ends there too
+            inner = np.zeros(n, bool)
+            inner[:-1] = last[1:] == last[:-1]
+            on &= (last - k <= LONG) | ~inner | (k == self.begin)
+            back &= (k + 1 - first <= LONG) | (k + 1 == self.end)
+        first, last = np.append(k[on], first[back]), np.append(last[on], k[back] + 1)
+        if longest is not None:
+            fits = last - first <= longest
+            first, last = first[fits], last[fits]
+        return self._spans(first, last)
+
+    def short_windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, sizes) of windows of size words that windows() has not: shorter than WINDOW, or with less than PLAIN plain words."""
         n = len(self.hash) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h, plain = np.full(n, size, np.uint64), np.zeros(n, np.int64)
-        for j in range(size):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + self.hash[j : n + j])
-            plain += ~self.slot[j : n + j]
-        at = np.flatnonzero((self.rows[:n] == self.rows[size - 1 :]) & (plain >= min(PLAIN, size)))
-        return at, h[at]
+            return self._spans(*(np.zeros(0, np.int64),) * 2)
+        at = np.flatnonzero(self.rows[:n] == self.rows[size - 1 :])
+        if size >= WINDOW:
+            at = at[self.plain[at + size] - self.plain[at] < PLAIN]
+        return self._spans(at, at + size)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, sizes) of whole texts that have no windows()."""
+        at = np.flatnonzero(self.begin == np.arange(len(self.hash)))
+        last = self.end[at]
+        short = (last - at < WINDOW) | (self.plain[last] - self.plain[at] < PLAIN)
+        return self._spans(at[short], last[short])
 
     def values(self, at: int, size: int) -> list[str]:
         return [self.low[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace") for i in range(at, at + size) if self.slot[i]]
 
 
-ROW = "id {kind}, h long, pos int, size int, n_words int, slots array<string>"
+ROW = "id {kind}, h long, pos int, size int, n_words int, slots array<string>, whole boolean, free boolean"
 
 
-def _windows(df: DataFrame, id_col: str, text_col: str, *, sizes: list[int] | None = None, shorter: bool = False, known=None) -> DataFrame:
-    """One row for each window of sizes (WINDOW): id, h, pos, size, words of its text, slot values. shorter: texts of less than WINDOW words are windows; known: broadcast hashes, for no others."""
+def _windows(df: DataFrame, id_col: str, text_col: str, *, items: bool = False, sizes: list[int] | None = None, longest: int | None = None, known=None) -> DataFrame:
+    """One row for each window: id, h, pos, size, words of its text, slot values, whether it is a whole item, and whether its slots may hold other values. items: texts are items of
+    the benchmark, else documents, with windows of sizes as well, those of whole items, and of no more than longest words; known: broadcast hashes, for no others."""
     kind = dict(df.dtypes)[id_col]
     cache: dict = {}
 
@@ -115,25 +161,23 @@ def _windows(df: DataFrame, id_col: str, text_col: str, *, sizes: list[int] | No
                 if at[0] == at[-1]:
                     continue
                 t = Template(buf[at[0] : at[-1]], at - at[0])
-                words = np.bincount(t.rows, minlength=b - a)
-                found = [(*t.windows(s), s) for s in sizes or [WINDOW]]
-                if shorter:
-                    for s in range(1, WINDOW):
-                        first, h = t.windows(s)
-                        whole = words[t.rows[first]] == s
-                        found.append((first[whole], h[whole], s))
-                for first, h, size in found:
+                found = [(*t.windows(longest, items), False)]
+                found += [(*t.whole(), True)] if items else [(*t.short_windows(s), True) for s in sizes or []]
+                for first, h, size, whole in found:
                     if known is not None:
                         hit = cache["index"].find(h) >= 0
-                        first, h = first[hit], h[hit]
-                    if not len(first):
-                        continue
-                    own = t.rows[first]
-                    begin = np.searchsorted(t.rows, own)
-                    yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(own + a)), pa.array(h.view(np.int64)), pa.array((first - begin).astype(np.int32)), pa.array(np.full(len(own), size, np.int32)),
-                        pa.array(words[own].astype(np.int32)), pa.array([t.values(i, size) for i in first.tolist()], pa.list_(pa.string())),
-                    ], names=["id", "h", "pos", "size", "n_words", "slots"])
+                        first, h, size = first[hit], h[hit], size[hit]
+                    chunk = np.cumsum(size) // CHUNK
+                    for part in np.split(np.arange(len(first)), np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
+                        if not len(part):
+                            continue
+                        i, n = first[part], size[part]
+                        plain = t.plain[i + n] - t.plain[i]
+                        yield pa.RecordBatch.from_arrays([
+                            ids.take(pa.array(t.rows[i] + a)), pa.array(h[part].view(np.int64)), pa.array((i - t.begin[i]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                            pa.array((t.end[i] - t.begin[i]).astype(np.int32)), pa.array([t.values(x, y) for x, y in zip(i.tolist(), n.tolist(), strict=True)], pa.list_(pa.string())),
+                            pa.array(np.full(len(i), whole)), pa.array((plain > 0) & (plain + n >= 5) | (plain == n)),
+                        ], names=["id", "h", "pos", "size", "n_words", "slots", "whole", "free"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, ROW.format(kind=kind))
 
@@ -141,14 +185,15 @@ def _windows(df: DataFrame, id_col: str, text_col: str, *, sizes: list[int] | No
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", filter_windows: int = FILTER) -> DataFrame:
     """One row for each document and item that leaks: doc_id, item_id, matched_words, item_words, coverage, same_values (no slot was changed)."""
     spark = docs.sparkSession
-    items = _windows(benchmark, item_id, text_col, shorter=True)
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # WINDOW of them at most
+    items = _windows(benchmark, item_id, text_col, items=True)
+    sizes = sorted(r[0] for r in items.filter("whole").select("size").distinct().collect())  # lengths of items
+    longest = items.filter("not whole").agg(F.max("size")).first()[0] or 0
     hashes = items.select("h").distinct().limit(filter_windows + 1).toArrow()  # bounded by that limit
     known = spark.sparkContext.broadcast(hashes.column(0).to_numpy().view(np.uint64)) if hashes.num_rows <= filter_windows else None
-    found = _windows(docs, doc_id, text_col, sizes=sizes, known=known)
+    found = _windows(docs, doc_id, text_col, sizes=sizes, longest=longest, known=known)
     d = found.select(F.col("id").alias("doc_id"), "h", "size", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
-    b = items.select(F.col("id").alias("item_id"), "h", "size", F.col("pos").alias("b_pos"), F.col("slots").alias("b_slots"), F.col("n_words").alias("item_words"))
-    pairs = d.join(b, ["h", "size"])
+    b = items.select(F.col("id").alias("item_id"), "h", "size", F.col("pos").alias("b_pos"), F.col("slots").alias("b_slots"), F.col("n_words").alias("item_words"), "free")
+    pairs = d.join(b, ["h", "size"]).filter(F.col("free") | (F.col("b_slots") == F.col("d_slots")))
     slots = F.zip_with("b_slots", "d_slots", lambda x, y: F.struct(x.alias("b"), y.alias("d")))
     line = pairs.groupBy("doc_id", "item_id", "item_words", (F.col("d_pos") - F.col("b_pos")).alias("diagonal")).agg(
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"), F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("b_pos"), F.col("b_pos") + F.col("size") - 1)))).alias("words")
