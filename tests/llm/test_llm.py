@@ -266,6 +266,22 @@ def test_alignment_equals_longest_common_subsequence():
         assert (got >= 0.8) == (true >= 0.8) and (true < 0.8 or abs(got - true) < 1e-12)
 
 
+def test_alignment_at_the_very_threshold(spark):
+    """Similarity of exactly 0.8, all sizes: a text that is the beginning of another (M = n, 5 n = 4 m), and one that differs in its middle (9 M = 4 (n + m))."""
+    for n in range(4, 2000, 4):
+        a = np.arange(n * 5 // 4, dtype=np.uint32)
+        assert near_dedup.aligned(a[:n], a) == near_dedup.aligned(a, a[:n]) == 0.8 and near_dedup.aligned(a[: n - 1], a) == 0.0
+    for m in range(8, 500, 4):
+        for gone in range(1, m // 8 + 1):  # of M + gone and M + other k-mers M are common
+            other = m // 4 - gone
+            a = np.concatenate([np.arange(m // 2), 10**6 + np.arange(gone), np.arange(m // 2, m)]).astype(np.uint32)
+            b = np.concatenate([np.arange(m // 2), 2 * 10**6 + np.arange(other), np.arange(m // 2, m)]).astype(np.uint32)
+            assert near_dedup.aligned(a, b) == 0.8
+    longer = prose(39, 31).rstrip(".").split()
+    table = spark.createDataFrame([(1, " ".join(longer)), (2, " ".join(longer[:32])), (3, prose(39, 32))], "doc_id long, text string")
+    assert rows(near_dedup.op8(spark, table), "doc_id", "class_id") == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_op9(spark):
     table = [(1, 0, "user", "hi [x] \\ <b>"), (1, 1, "assistant", "a</s>"), (1, 2, "user", None), (1, 3, "assistant", "b\\0"), (1, 4, "user", "left"), (2, 0, "user", ""), (3, None, None, "z"), (None, 1, "assistant", "n"), (1, 1, "assistant", "a</s>")]
     turns = spark.createDataFrame([(*x, "e") for x in table], "conv_id long, turn long, role string, text string, lead string")

@@ -95,8 +95,8 @@ def sketches(shingles: np.ndarray, k: np.ndarray) -> np.ndarray:
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """M / (n1 + n2 - M), M: k-mers matched by the best alignment within the band; 0 where even all common k-mers would be too few."""
     n, m = len(a), len(b)
-    need = threshold / (1 + threshold) * (n + m)
-    if min(n, m) < need or not min(n, m):
+    need = threshold / (1 + threshold) * (n + m)  # rounded: for the band, which has one to spare, alone
+    if not min(n, m) or min(n, m) / max(n, m) < threshold:
         return 0.0
     band = int(n + m - 2 * need) + 1
     low, most = 0, min(n, m)
@@ -108,7 +108,8 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     order = np.argsort(y, kind="stable")
     sorted_y = y[order]
     left, right = np.searchsorted(sorted_y, x, "left"), np.searchsorted(sorted_y, x, "right")
-    if low + tail + np.count_nonzero(right > left) < need:
+    common = low + tail + int(np.count_nonzero(right > left))  # of x; may exceed what y has
+    if common < n + m and common / (n + m - common) < threshold:
         return 0.0
     if int((right - left).sum()) <= 16 * (len(x) + len(y)) + 1024:
         # matches by place in x, then from the last place in y: the longest rise among them is the alignment
