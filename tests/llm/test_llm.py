@@ -266,6 +266,18 @@ def test_alignment_equals_longest_common_subsequence():
         assert (got >= 0.8) == (true >= 0.8) and (true < 0.8 or abs(got - true) < 1e-12)
 
 
+def test_one_document_of_each_class_stays(spark):
+    """Null ids and ids of several texts: the survivor is chosen by class, not by id."""
+    a, b, c, d, e = (prose(50, 400 + k) for k in range(5))
+    near = a.replace(a.split()[25], "changed", 1)
+    made = [(None, a, 1), (None, b, 2), (None, b, 2), (7, near, 3), (8, c, 4), (8, d, 5), (9, d, 6), (8, d.upper(), 7), (None, e, 8), (None, e.upper(), 9), (None, None, 10), (11, "", 11)]
+    table = spark.createDataFrame(made, "doc_id long, text string, extra int").repartition(3)
+    kept = near_dedup.without_near_duplicates(table)
+    assert kept.columns == table.columns
+    assert {*map(tuple, kept.collect())} == {(None, b, 2), (7, near, 3), (8, c, 4), (8, d.upper(), 7), (None, e.upper(), 9), (11, "", 11)} and kept.count() == 6
+    assert near_dedup.without_near_duplicates(table.limit(0)).count() == 0
+
+
 def test_alignment_at_the_very_threshold(spark):
     """Similarity of exactly 0.8, all sizes: a text that is the beginning of another (M = n, 5 n = 4 m), and one that differs in its middle (9 M = 4 (n + m))."""
     for n in range(4, 2000, 4):

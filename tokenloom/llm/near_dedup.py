@@ -275,8 +275,8 @@ def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, (F.col("x.kmer") == F.col("y.kmer")) & fits).select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, class_id (smallest id of the class), copies (rows of this very word sequence), n_links (verified links of this text), for each row of docs."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, k1, k2 of each row; k1, k2, label of the class, class_id, copies, n_links of each text)."""
     keys = written(text_keys(docs, id_col=id_col, text_col=text_col), "keys")
     texts = written(keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")), "texts")
     spread = texts.filter("size(sketches) > 0").select(F.struct("k1", "k2").alias("t"), F.posexplode("sketches").alias("j", "s"))
@@ -312,15 +312,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = texts.withColumn("node", F.struct("k1", "k2")).join(labels, "node", "left").join(counts, "node", "left")
     joined = joined.withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = joined.join(least, "label").select("k1", "k2", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return keys.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "copies", "n_links")
+    classes = joined.join(least, "label").select("k1", "k2", "label", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return keys.select("id", "k1", "k2"), classes
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id_col, class_id (smallest id of the class), copies (rows of this very word sequence), n_links (verified links of this text), for each row of docs."""
+    keys, classes = _classes(docs, id_col, text_col, threshold)
+    return keys.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "copies", "n_links")
 
 
 def op8(spark, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
 
 
+def _text_key(text: pa.Array) -> pa.Array:
+    made = [np.zeros((2, 0), np.int64)]
+    buf, offsets = buffers(text)
+    for a, b in slices(offsets):
+        at = offsets[a : b + 1]
+        made.append(np.stack(kmers(buf[at[0] : at[-1]], at - at[0])[3:]).view(np.int64))
+    return pa.StructArray.from_arrays([pa.array(k) for k in np.concatenate(made, 1)], ["k1", "k2"])
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id, once."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class stays: the one with the smallest doc_id (a null one only where all are null), of several the one with the smallest text, once."""
+    keys, classes = _classes(docs, "doc_id", "text", THRESHOLD)
+    first = keys.join(classes, ["k1", "k2"]).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_id"), F.struct("k1", "k2").alias("_key"), F.col("label").alias("_label")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.arrow_udf(_text_key, "k1 long, k2 long")("text").alias("_of"))
+    kept = rows.join(first, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")))
+    return kept.groupBy("_label").agg(F.min_by("_row", F.struct("_row.text")).alias("_row")).select("_row.*")
