@@ -1,5 +1,6 @@
 import copy
 import pickle
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,18 @@ def test_sentencepiece(tmp_path, spark):
         tl.SentencePiece("/nowhere")
 
 
+def test_sentencepiece_learns_from_all_texts(tmp_path, spark):
+    """Every text of a table counts, as do texts beyond the trainer's limit of 4192 bytes; repeats are weights."""
+    texts = [f"w{chr(97 + k % 26)} x{chr(97 + k // 26)}" for k in range(600)] + ["long " * 1500 + "Ω", "y" * 5000 + "Ж", None, ""]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    learner = tl.SentencePieceLearner(vocab_size=120, character_coverage=1.0, model_type="unigram", hard_vocab_limit=False).ingest_dataframe(table, "text")
+    words = Counter(w for t in texts for w in (t or "").split())
+    assert learner.counts == words
+    t = learner.learn(str(tmp_path / "all.model"))
+    pieces = {t.encoder.processor().IdToPiece(k) for k in range(t.encoder.processor().GetPieceSize())}
+    assert {"Ω", "Ж"} <= pieces and all(chr(97 + k) in "".join(pieces) for k in range(24))
+
+
 def test_vocab(spark, tmp_path):
     v = tl.build_vocab_from_lines(["a b b c", "c c <x>\n"], special_tokens=["<blank>", "<unk>"])
     assert v.ids_to_tokens == ["<blank>", "<unk>", "a", "b", "c", "<x>"] and v(["c", "q", ["a"]]) == [4, 1, [2]] and v.lookup_index(99) == "<unk>" and v.counters[4] == 3

@@ -216,7 +216,7 @@ def bpe_dropout(spark, sf_dir):
 def sp_encode(spark, sf_dir):
     from tokenloom.operators.learn import SentencePieceLearner
 
-    learner = SentencePieceLearner(vocab_size=400, character_coverage=1.0, model_type="unigram", hard_vocab_limit=False).ingest_dataframe(_docs(spark, sf_dir), "text", rows=500)
+    learner = SentencePieceLearner(vocab_size=400, character_coverage=1.0, model_type="unigram", hard_vocab_limit=False).ingest_dataframe(_docs(spark, sf_dir), "text")
     with tempfile.TemporaryDirectory() as folder:
         t = learner.learn(f"{folder}/sp.model")
     return _docs(spark, sf_dir).select("doc_id", F.size(t.column("text")).cast("long").alias("n_pieces"))
