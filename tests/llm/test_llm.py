@@ -149,6 +149,22 @@ def test_op4_finds_items_that_are_mostly_slots(spark):
         assert got == {(10 * k + c, k): True for k in range(len(made)) for c in range(2)} | {(900, 90): True}
 
 
+def test_op4_finds_a_part_of_a_long_item(spark):
+    passage = " ".join(prose(50, 900 + k) + f" It cost {k + 2} dollars." for k in range(6)).split()
+    part = " ".join(passage[60:140])
+    made = [
+        (1, " ".join(passage)), (2, prose(30, 1) + " " + part), (3, " ".join(passage[100:124])), (4, " ".join(passage[100:125])), (5, " ".join(passage[:12] + ["x"] + passage[14:26] + ["y"] + passage[28:40])),
+        (6, part.replace(" 3 dollars", " 30 dollars")), (7, " ".join(passage[55:] + ["It cost 2 dollars"]).replace(" 3 dollars", " 30 dollars", 1) + " " + prose(20, 2)), (8, prose(300, 3)),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"] for r in decontamination.leaks(docs, spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")).collect()} == {1, 2, 4, 6, 7}
+    # a value that stands for two others: no agreement on the diagonal, but a run as it is
+    item = " ".join(["He paid 5 dollars", *passage[:40], "and later paid 5 dollars to the man", *(prose(120, 950).split())])
+    docs = spark.createDataFrame([(1, item.replace("5", "9", 1)), (2, item.replace("5", "9", 1)[:60])], "doc_id long, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["same_values"]) for r in got] == [(1, False)]
+
+
 def test_windows_hold_every_word_of_an_item():
     r = np.random.default_rng(4)
     for _ in range(200):

@@ -3,7 +3,8 @@
 A text is its runs of letters and digits, in lower case; a run with a digit becomes <number>, a unit <unit> ('a' and 'in' right after a number only), a capitalised run inside a
 sentence <name>: its template. Windows of WINDOW template words, or as many more as it takes to hold PLAIN that are no placeholders, are joined by hash with those of the benchmark. Matches of a document and an item that lie on one diagonal (document position minus item position) are
 kept if their slots agree: each value of the item stands for one and the same value of the document there. An item leaks where such matches cover COVERAGE of its words (and LEAST
-of them, or all): so a question with other numbers, names or units is caught, and a few common words are not.
+of them, or all), or RUN words on end on one diagonal, however long the item: so a question with other numbers, names or units is caught, or a part of a long passage, and a few
+common words are not. Where slots on a diagonal don't agree, its matches with the item's own values still count for such a run.
 
 Where the benchmark has at most FILTER windows, their hashes (8 bytes each) go to the workers, and only windows that match leave them; beyond that, all windows of the documents are
 shuffled to the join. Nothing else depends on that size. A window begins at each word and ends at each word, so every word of an item lies in one, however dense its slots. Items
@@ -21,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm._text import BYTE_CODE, LOWER, U64, HashIndex, buffers, byte_classes, mix, prefix, slices, span_hash
 
 WINDOW, PLAIN = 5, 3
 COVERAGE, LEAST = 0.5, 10
+RUN = 25  # half of an item of 50 words: shorter ones leak by COVERAGE first
 FILTER = 2_000_000
 LONG = 64
 CHUNK = 1 << 18  # words of the windows of one batch of rows, about
@@ -182,6 +184,13 @@ def _windows(df: DataFrame, id_col: str, text_col: str, *, items: bool = False,
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, ROW.format(kind=kind))
 
 
+def _has_run(words: Column) -> Column:
+    """Whether distinct places hold RUN on end."""
+    at = F.array_sort(words)
+    ends = F.slice(at, RUN, F.greatest(F.size(at) - (RUN - 1), F.lit(0)))
+    return F.exists(F.zip_with(ends, at, lambda x, y: F.coalesce(x - y, F.lit(0))), lambda d: d == RUN - 1)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", filter_windows: int = FILTER) -> DataFrame:
     """One row for each document and item that leaks: doc_id, item_id, matched_words, item_words, coverage, same_values (no slot was changed)."""
     spark = docs.sparkSession
@@ -195,15 +204,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", item
     b = items.select(F.col("id").alias("item_id"), "h", "size", F.col("pos").alias("b_pos"), F.col("slots").alias("b_slots"), F.col("n_words").alias("item_words"), "free")
     pairs = d.join(b, ["h", "size"]).filter(F.col("free") | (F.col("b_slots") == F.col("d_slots")))
     slots = F.zip_with("b_slots", "d_slots", lambda x, y: F.struct(x.alias("b"), y.alias("d")))
+    places = F.sequence(F.col("b_pos"), F.col("b_pos") + F.col("size") - 1)
     line = pairs.groupBy("doc_id", "item_id", "item_words", (F.col("d_pos") - F.col("b_pos")).alias("diagonal")).agg(
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"), F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("b_pos"), F.col("b_pos") + F.col("size") - 1)))).alias("words")
+        F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"), F.array_distinct(F.flatten(F.collect_set(places))).alias("words"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("b_slots") == F.col("d_slots"), places)))).alias("same"),
     )
     agree = F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))) == F.size("slots")
     changed = F.exists("slots", lambda s: s["b"] != s["d"])
-    per = line.filter(agree).groupBy("doc_id", "item_id", "item_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("matched_words"), F.min(~changed).alias("same_values"))
+    line = line.withColumn("words", F.when(agree, F.col("words")).otherwise(F.col("same"))).withColumn("run", _has_run("words")).filter(agree | F.col("run"))
+    per = line.groupBy("doc_id", "item_id", "item_words").agg(F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("matched_words"), F.min(~changed).alias("same_values"), F.max("run").alias("run"))
     per = per.withColumn("coverage", F.col("matched_words") / F.col("item_words"))
     enough = (F.col("coverage") >= COVERAGE) & (F.col("matched_words") >= F.least(F.lit(LEAST), "item_words"))
-    return per.filter(enough).select("doc_id", "item_id", "matched_words", "item_words", "coverage", "same_values")
+    return per.filter(enough | F.col("run")).select("doc_id", "item_id", "matched_words", "item_words", "coverage", "same_values")
 
 
 def op4(spark, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
