@@ -27,7 +27,7 @@ def test_wrong_options(options):
 
 
 def test_tokens_as_objects():
-    t = tl.Tokenizer("aggressive", joiner_annotate=True, case_markup=True)
+    t = tl.Loom("aggressive", joiner_annotate=True, case_markup=True)
     made = t.tokenize("Hello WORLD!", as_token_objects=True)
     assert [(x.surface, x.casing) for x in made] == [("hello", tl.Casing.CAPITALIZED), ("world", tl.Casing.UPPERCASE), ("!", tl.Casing.NONE)] and made[2].join_left
     assert t.detokenize(made) == "Hello WORLD!" and sorted(t.detokenize_with_ranges(made)[1]) == [0, 1, 2]
@@ -36,14 +36,14 @@ def test_tokens_as_objects():
     assert pickle.loads(pickle.dumps(made[0])) == made[0] == copy.deepcopy(made[0]) and hash(made[0]) == hash(copy.copy(made[0])) and len(made[0]) == 5
     assert repr(tl.Token("a", join_left=True)) == "Token('a', join_left=True)"
     with pytest.raises(ValueError):
-        tl.Tokenizer().detokenize([tl.Token("a", casing=tl.Casing.MIXED)])
+        tl.Loom().detokenize([tl.Token("a", casing=tl.Casing.MIXED)])
     with pytest.raises(RuntimeError):
-        tl.Tokenizer(case_feature=True).detokenize(["a"])
-    assert copy.copy(t).options == t.options == tl.Tokenizer(t).options and t.options.as_dict()["segment_case"]
+        tl.Loom(case_feature=True).detokenize(["a"])
+    assert copy.copy(t).options == t.options == tl.Loom(t).options and t.options.as_dict()["segment_case"]
 
 
 def test_bpe_learner(tmp_path):
-    t = tl.Tokenizer("aggressive", joiner_annotate=True)
+    t = tl.Loom("aggressive", joiner_annotate=True)
     learner = tl.BPELearner(t, symbols=2, min_frequency=1)
     learner.ingest("hello world")
     made = learner.learn(str(tmp_path / "m"))
@@ -69,9 +69,9 @@ def test_bpe_models():
     assert free.encode("LE") == ["LE"] and free.encode("Leb") == ["Le", "b"]
     none = tl.BPE(["a b"])
     assert none.encode("ab") == ["ab"]
-    t = tl.Tokenizer(tl.Options(joiner_annotate=True), encoder=tl.BPE(["#version: 0.2", "w e", "we l", "wel l", "l e</w>"]), vocabulary=["wel￭"])
+    t = tl.Loom(tl.Options(joiner_annotate=True), encoder=tl.BPE(["#version: 0.2", "w e", "we l", "wel l", "l e</w>"]), vocabulary=["wel￭"])
     assert t("welle") == ["wel￭", "le"] or t("welle")[0] == "wel￭"
-    assert tl.Tokenizer("space", encoder=tl.BPE(["#version: 0.2", "a b"], dropout=1.0))("aab") == ["a", "a", "b"]
+    assert tl.Loom("space", encoder=tl.BPE(["#version: 0.2", "a b"], dropout=1.0))("aab") == ["a", "a", "b"]
     with pytest.raises(ValueError):
         tl.BPE(["a b"], dropout=2)
     with pytest.raises(ValueError):
@@ -85,7 +85,7 @@ def test_sentencepiece(tmp_path, spark):
     learner.ingest("hello word! how are you?")
     t = learner.learn(str(tmp_path / "sp"))
     assert t("hello") == ["▁h", "e", "l", "l", "o"] and t.detokenize(t("how are you")) == "how are you"
-    again = tl.sentencepiece_tokenizer(str(tmp_path / "sp"))
+    again = tl.sentencepiece_loom(str(tmp_path / "sp"))
     df = spark.createDataFrame([("hello",), (None,)], "t string")
     assert [r["x"] for r in df.select(again.column("t").alias("x")).collect()] == [["▁h", "e", "l", "l", "o"], None]
     with pytest.raises(ValueError):
@@ -118,18 +118,47 @@ def test_vocab(spark, tmp_path):
         want = tl.build_vocab_from_lines(["a b b c", "c c <x>"], special_tokens=["<blank>", "<unk>"], **limits)
         assert tl.Vocab.from_dataframe(table).ids_to_tokens == want.ids_to_tokens and tl.Vocab.from_dataframe(table).counters == want.counters
     table = vocab.build_vocab(df, "t", ["k"], special_tokens=["<blank>", "<unk>"]).cache()
-    got = {r["k"]: r["ids"] for r in vocab.encode_ids(df, "t", table.filter("token <> 'a'"), ["k"]).collect()}
-    small, vocab.SMALL = vocab.SMALL, 1
-    joined = {r["k"]: r["ids"] for r in vocab.encode_ids(df, "t", table.filter("token <> 'a'"), ["k"]).collect()}
-    vocab.SMALL = small
-    assert got == {1: [1, 3, 3, 4], 2: [4, 4, 5], 3: None, 4: []} and {k: joined[k] for k in (1, 2)} == {k: got[k] for k in (1, 2)}
+    got = {r["k"]: r["ids"] for r in vocab.encode_ids(df, "t", table.filter("token <> 'a'")).collect()}
+    assert got == {1: [1, 3, 3, 4], 2: [4, 4, 5], 3: None, 4: []}
     resized = vocab.resize(v.to_dataframe(spark), maximum_size=3)
     assert tl.Vocab.from_dataframe(resized).ids_to_tokens == ["<blank>", "<unk>", "c"]
 
 
+def test_vocabulary_ids_are_dense_however_plans_are_cut(spark):
+    """Sorted partitions that adaptive plans cut in other places, and rows that would be pruned."""
+    held = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "5k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 6000, 1, 7).selectExpr("id as k", "array(concat('w', id % 4099), concat('x', id), null, 'the') as t")
+        for limits in ({}, {"minimum_frequency": 1, "maximum_size": 9000}, {"minimum_frequency": 2}):
+            rows = vocab.build_vocab(df.withColumn("t", F.expr("filter(t, x -> x is not null)")), "t", ["k"], special_tokens=["<unk>"], **limits).select("id", "token").collect()
+            want = tl.build_vocab_from_tokens((w for k in range(6000) for w in (f"w{k % 4099}", f"x{k}", "the")), special_tokens=["<unk>"], **{"maximum_size": 0, "minimum_frequency": 1, **limits})
+            assert [r["token"] for r in sorted(rows)] == want.ids_to_tokens and sorted(r["id"] for r in rows) == list(range(len(want)))
+        by_text = vocab.build_vocab(df.selectExpr("cast(k as string) as k", "filter(t, x -> x is not null) as t"), "t", ["k"])
+        assert sorted(r["id"] for r in by_text.select("id").collect()) == list(range(4099 + 6000 + 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_large_and_small_vocabularies_encode_alike(spark, monkeypatch):
+    """Repeated rows, null and repeated keys, null tokens and arrays, columns named as the operator's own."""
+    rows = [(1, ["a", "b"], 5), (1, ["c"], 5), (None, ["a"], 5), (1, ["c"], 5), (2, None, 5), (3, [], None), (4, ["z", None], 5)]
+    df = spark.createDataFrame(rows, "number int, token array<string>, ids int").repartition(3)
+    table = spark.createDataFrame([(0, "<unk>"), (1, "a"), (2, "b"), (3, "c")], "id long, token string")
+    small = sorted(map(repr, vocab.encode_ids(df, "token", table, out="pos").collect()))
+    monkeypatch.setattr(vocab, "SMALL", 1)
+    large = vocab.encode_ids(df, "token", table, out="pos")
+    assert large.columns == ["number", "token", "ids", "pos"] and sorted(map(repr, large.collect())) == small
+    assert sorted((r["number"] or 0, r["pos"]) for r in large.collect() if r["number"] != 2) == [(0, [1]), (1, [1, 2]), (1, [3]), (1, [3]), (3, []), (4, [0, 0])]
+    assert vocab.encode_ids(df, "token", table, out="ids").columns == df.columns
+
+
 def test_files_and_lines(spark, tmp_path):
     (tmp_path / "in").write_text("Hello world!\na b\n\nIt's.\n", encoding="utf-8")
-    t = tl.Tokenizer("aggressive", joiner_annotate=True)
+    t = tl.Loom("aggressive", joiner_annotate=True)
     t.tokenize_file(str(tmp_path / "in"), str(tmp_path / "tok"), tokens_delimiter="++")
     assert (tmp_path / "tok").read_text(encoding="utf-8").split("\n")[0] == "Hello++world++￭!"
     t.detokenize_file(str(tmp_path / "tok"), str(tmp_path / "back"), tokens_delimiter="++")
@@ -167,7 +196,7 @@ def test_command_line(tmp_path):
 def test_streams_and_sql(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("b a b\nc!\n")
-    t = tl.Tokenizer()
+    t = tl.Loom()
     stream = lines.read_line_stream(spark, str(tmp_path / "in"))
     run = lines.running_vocabulary(stream, t).writeStream.format("memory").queryName("words").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -175,7 +204,7 @@ def test_streams_and_sql(spark, tmp_path):
     run = lines.tokenize_stream(stream, t).writeStream.format("memory").queryName("lines").trigger(availableNow=True).start()
     run.awaitTermination()
     assert {r["line"] for r in spark.sql("select * from lines").collect()} == {"b a b", "c !"}
-    sql.register(spark, tl.Tokenizer("aggressive", joiner_annotate=True), "tl_")
+    sql.register(spark, tl.Loom("aggressive", joiner_annotate=True), "tl_")
     assert spark.sql("select tl_tokenize('Hi there!') t, tl_token_count('a b') n, tl_detokenize(array('a', '￭b')) d").first()[:] == (["Hi", "there", "￭!"], 2, "ab")
     assert [tuple(r)[:2] for r in spark.sql("select * from tl_tokens('a-b')").collect()] == [(0, "a"), (1, "-"), (2, "b")]
 
@@ -195,7 +224,7 @@ def test_pairs(spark):
 
 
 def test_dropout_repeats(spark):
-    t = tl.Tokenizer("space", encoder=tl.BPE(["#version: 0.2", "a b", "ab c", "abc d</w>"], dropout=0.5))
+    t = tl.Loom("space", encoder=tl.BPE(["#version: 0.2", "a b", "ab c", "abc d</w>"], dropout=0.5))
     df = spark.createDataFrame([(k, "abcd abcd abcd") for k in range(20)], "k int, t string").repartition(4)
     one, two = ({r["k"]: r["x"] for r in df.repartition(n).select("k", t.column("t", seed=1, key="k").alias("x")).collect()} for n in (2, 5))
     assert one == two and len({tuple(x) for x in one.values()}) > 1

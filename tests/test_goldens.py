@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import native
 from tokenloom.operators.annotate import write_line
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.loom import Loom
 from tokenloom.options import Options
 
 
@@ -17,7 +17,7 @@ def nfc(text):
 
 @pytest.mark.parametrize("options,text,line,back", CASES)
 def test_tokens(options, text, line, back):
-    t = Tokenizer(Options(**options))
+    t = Loom(Options(**options))
     tokens, features = t.tokenize(text)
     assert write_line(tokens, features) == line
     if back:
@@ -26,11 +26,11 @@ def test_tokens(options, text, line, back):
 
 @pytest.mark.parametrize("options,tokens,text", DETOK)
 def test_detokenize(options, tokens, text):
-    assert nfc(Tokenizer(Options(**options)).detokenize(tokens)) == nfc(text)
+    assert nfc(Loom(Options(**options)).detokenize(tokens)) == nfc(text)
 
 
 def test_ranges():
-    t = Tokenizer()
+    t = Loom()
     text, ranges = t.detokenize_with_ranges(["Hel￭", "lo", "｟mrk_case_modifier_C｠", "w", "￭", "orld", "￭!"])
     assert (text, ranges) == ("Hello World!", {0: (0, 2), 1: (3, 4), 3: (6, 6), 5: (7, 10), 6: (11, 11)})
     assert t.detokenize_with_ranges(["Hel￭", "lo", "w￭", "orld", "￭!"], merge_ranges=True)[1] == {0: (0, 4), 1: (0, 4), 2: (6, 10), 3: (6, 10), 4: (11, 11)}
@@ -39,11 +39,11 @@ def test_ranges():
 
 
 def test_alphabets():
-    t = Tokenizer("aggressive", segment_alphabet_change=True)
+    t = Loom("aggressive", segment_alphabet_change=True)
     assert t.alphabets("rawБ") == {"Latin": 3, "Cyrillic": 1}
     assert t.alphabets("有 入") == {"Han": 2}
-    assert Tokenizer().alphabets("مرحبا") == {"Arabic": 5}
-    assert Tokenizer().alphabets("ﾃ1.") == {"Katakana": 1, "Numeric": 1, "Other": 1}
+    assert Loom().alphabets("مرحبا") == {"Arabic": 5}
+    assert Loom().alphabets("ﾃ1.") == {"Katakana": 1, "Numeric": 1, "Other": 1}
 
 
 NATIVE = [
@@ -61,7 +61,7 @@ def test_native_equals_machine(spark):
     for options in NATIVE:
         o = Options(**options)
         assert native.covers(o), options
-        t = Tokenizer(o)
+        t = Loom(o)
         got = {r["i"]: r["x"] for r in df.select("i", t.column("t").alias("x")).collect()}
         assert got[-1] is None
         bad = [(texts[i], got[i], t(texts[i])) for i in range(len(texts)) if got[i] != t(texts[i])]
@@ -72,7 +72,7 @@ def test_native_way_back(spark):
     texts = ["Isn't it so-greatly working?", "$1 ｟a b｠c", "a-b 3,000.", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for more in ({"joiner_annotate": True}, {"spacer_annotate": True}, {"joiner_annotate": True, "joiner_new": True}):
-        t = Tokenizer("aggressive", no_substitution=True, **more)
+        t = Loom("aggressive", no_substitution=True, **more)
         rows = df.select("t", native.detokenize(t.column("t"), t.options).alias("n"), t.detokenized(t.column("t")).alias("m"), native.ranges(t.column("t"), t.options).alias("r"), t.column("t").alias("k")).collect()
         for r in rows:
             assert r["n"] == r["m"] == r["t"]

@@ -8,7 +8,7 @@ import sys
 
 from tokenloom.operators.annotate import read_line, write_line
 from tokenloom.operators.learn import BPELearner, SentencePieceLearner
-from tokenloom.operators.tokenizer import Tokenizer, set_random_seed
+from tokenloom.operators.loom import Loom, set_random_seed
 from tokenloom.options import Options
 
 
@@ -68,16 +68,16 @@ def main(argv: list[str] | None = None, read=sys.stdin, write=sys.stdout) -> int
         if args.seed is not None:
             set_random_seed(args.seed)
         sp = "" if args.bpe_model else args.sp_model  # a BPE model comes first here
-        t = Tokenizer(_options(args), bpe_model_path=args.bpe_model, bpe_dropout=args.bpe_dropout, bpe_vocab_path=args.bpe_vocab, bpe_vocab_threshold=args.bpe_vocab_threshold, sp_model_path=sp, sp_nbest_size=args.sp_nbest_size, sp_alpha=args.sp_alpha, vocabulary_path=args.vocabulary, vocabulary_threshold=args.vocabulary_threshold)
+        t = Loom(_options(args), bpe_model_path=args.bpe_model, bpe_dropout=args.bpe_dropout, bpe_vocab_path=args.bpe_vocab, bpe_vocab_threshold=args.bpe_vocab_threshold, sp_model_path=sp, sp_nbest_size=args.sp_nbest_size, sp_alpha=args.sp_alpha, vocabulary_path=args.vocabulary, vocabulary_threshold=args.vocabulary_threshold)
         for line in read:
             write.write(write_line(*t.tokenize(line.rstrip("\n")), args.tokens_delimiter) + "\n")
     elif args.command == "detokenize":
-        t = Tokenizer(_options(args))
+        t = Loom(_options(args))
         for line in read:
             write.write(t.detokenize(*read_line(line.rstrip("\n"), args.tokens_delimiter)) + "\n")
     else:
         default = args.mode == "conservative" and not args.joiner_annotate and not args.spacer_annotate
-        t = None if default else Tokenizer(_options(args))
+        t = None if default else Loom(_options(args))
         if args.kind == "bpe":
             learner = BPELearner(t, args.symbols, args.min_frequency, args.total_symbols, args.dict_input)
         else:

@@ -1,4 +1,4 @@
-"""SQL names for the tokenizer: scalar functions and a table function."""
+"""SQL names for the loom: scalar functions and a table function."""
 
 from __future__ import annotations
 
@@ -6,28 +6,28 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.loom import Loom
 
 
-def register(spark: SparkSession, tokenizer: Tokenizer, prefix: str = "") -> None:
+def register(spark: SparkSession, loom: Loom, prefix: str = "") -> None:
     """tokenize(text), detokenize(tokens), token_count(text), and the table function tokens(text) -> (pos, surface, join_left, join_right, casing)."""
 
     @F.pandas_udf("array<string>")
     def tokenize(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else tokenizer(x))
+        return texts.map(lambda x: None if x is None else loom(x))
 
     @F.pandas_udf("string")
     def detokenize(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else tokenizer.detokenize(list(x)))
+        return lists.map(lambda x: None if x is None else loom.detokenize(list(x)))
 
     @F.pandas_udf("long")
     def token_count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else len(tokenizer(x)))
+        return texts.map(lambda x: None if x is None else len(loom(x)))
 
     @F.udtf(returnType="pos int, surface string, join_left boolean, join_right boolean, casing string")
     class Tokens:
         def eval(self, text: str):
-            for k, t in enumerate(tokenizer.tokens(text or "")):
+            for k, t in enumerate(loom.tokens(text or "")):
                 yield k, t.surface, t.join_left, t.join_right, t.casing.value
 
     for name, f in (("tokenize", tokenize), ("detokenize", detokenize), ("token_count", token_count)):

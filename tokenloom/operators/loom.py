@@ -1,4 +1,4 @@
-"""The tokenizer: one object for single texts in Python, and for DataFrame columns."""
+"""The loom: options and a subword encoder, for single texts in Python and for DataFrame columns."""
 
 from __future__ import annotations
 
@@ -29,15 +29,15 @@ def set_random_seed(seed: int) -> None:
     _seed.seed(seed)
 
 
-class Tokenizer:
-    """Made from a mode and options, from Options, or from another tokenizer; with at most one subword encoder."""
+class Loom:
+    """Made from a mode and options, from Options, or from another loom; with at most one subword encoder."""
 
     def __init__(
-        self, mode: str | Options | Tokenizer = "conservative", *, encoder: SubwordEncoder | None = None, bpe_model_path: str = "", bpe_vocab_path: str = "", bpe_vocab_threshold: int = 50,
+        self, mode: str | Options | Loom = "conservative", *, encoder: SubwordEncoder | None = None, bpe_model_path: str = "", bpe_vocab_path: str = "", bpe_vocab_threshold: int = 50,
         bpe_dropout: float = 0.0, vocabulary: Iterable[str] | None = None, vocabulary_path: str = "", vocabulary_threshold: int = 0, sp_model_path: str = "", sp_nbest_size: int = 0,
         sp_alpha: float = 0.1, **options,
     ) -> None:
-        if isinstance(mode, Tokenizer):
+        if isinstance(mode, Loom):
             self.options, self.encoder = mode.options, mode.encoder
             return
         self.options = mode if isinstance(mode, Options) else Options(mode=mode, **options)
@@ -57,14 +57,14 @@ class Tokenizer:
             elif bpe_vocab_path:
                 encoder.set_vocabulary(read_vocabulary(bpe_vocab_path, bpe_vocab_threshold), self.options)
 
-    def __copy__(self) -> Tokenizer:
-        return Tokenizer(self)
+    def __copy__(self) -> Loom:
+        return Loom(self)
 
-    def __deepcopy__(self, _memo) -> Tokenizer:
-        return Tokenizer(self)
+    def __deepcopy__(self, _memo) -> Loom:
+        return Loom(self)
 
-    def with_encoder(self, encoder: SubwordEncoder | None) -> Tokenizer:
-        return Tokenizer(self.options, encoder=encoder)
+    def with_encoder(self, encoder: SubwordEncoder | None) -> Loom:
+        return Loom(self.options, encoder=encoder)
 
     # single texts
 
@@ -135,7 +135,7 @@ class Tokenizer:
 
     @property
     def is_native(self) -> bool:
-        """Whether columns of this tokenizer are Catalyst expressions alone."""
+        """Whether columns of this loom are Catalyst expressions alone."""
         return self.encoder is None and native.covers(self.options)
 
     def column(self, text: Column | str, *, training: bool = True, seed: int | None = None, key: Column | str | None = None, tier: str = "auto") -> Column:
@@ -219,9 +219,9 @@ class Tokenizer:
         return (made.asNondeterministic() if random_draws else made)(column)
 
 
-def sentencepiece_tokenizer(model_path: str, vocabulary_path: str | None = None, vocabulary_threshold: int = 0, nbest_size: int = 0, alpha: float = 0.1) -> Tokenizer:
-    """A tokenizer that does what the model alone would do."""
-    return Tokenizer("none", sp_model_path=model_path, vocabulary_path=vocabulary_path or "", vocabulary_threshold=vocabulary_threshold, sp_nbest_size=nbest_size, sp_alpha=alpha)
+def sentencepiece_loom(model_path: str, vocabulary_path: str | None = None, vocabulary_threshold: int = 0, nbest_size: int = 0, alpha: float = 0.1) -> Loom:
+    """A loom that does what the model alone would do."""
+    return Loom("none", sp_model_path=model_path, vocabulary_path=vocabulary_path or "", vocabulary_threshold=vocabulary_threshold, sp_nbest_size=nbest_size, sp_alpha=alpha)
 
 
-__all__ = ["Tokenizer", "is_placeholder", "sentencepiece_tokenizer", "set_random_seed"]
+__all__ = ["Loom", "is_placeholder", "sentencepiece_loom", "set_random_seed"]

@@ -26,7 +26,7 @@ class SubwordEncoder:
         """Nothing, unless a subclass can be restricted."""
 
     def adapt(self, options: Options) -> Options:
-        """The options that a tokenizer with this encoder works with."""
+        """The options that a loom with this encoder works with."""
         return options
 
     def encode_tokens(self, tokens: list[Token], training: bool = True, rng: random.Random | None = None) -> list[Token]:

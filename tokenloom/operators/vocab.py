@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.loom import Loom
+from tokenloom.sources.tables import written
 
 UNKNOWN = "<unk>"
 MOST = 2**64 - 1  # frequency of special tokens; counters stop there
@@ -66,18 +67,18 @@ class Vocab:
             self._counts.append(0)
         self._counts[k] = min(MOST, self._counts[k] + count)
 
-    def add_from_text(self, text: str, tokenizer: Tokenizer | None = None) -> None:
-        for t in tokenizer(text) if tokenizer else filter(None, text.split(" ")):
+    def add_from_text(self, text: str, loom: Loom | None = None) -> None:
+        for t in loom(text) if loom else filter(None, text.split(" ")):
             self.add_token(t)
 
-    def add_from_file(self, path: str, tokenizer: Tokenizer | None = None) -> None:
+    def add_from_file(self, path: str, loom: Loom | None = None) -> None:
         try:
             f = open(path, encoding="utf-8", newline="\n")
         except OSError as e:
             raise ValueError(f"Failed to open input file {path}") from e
         with f:
             for line in f:
-                self.add_from_text(line.removesuffix("\n"), tokenizer)
+                self.add_from_text(line.removesuffix("\n"), loom)
 
     def resize(self, maximum_size: int = 0, minimum_frequency: int = 1) -> None:
         """Most frequent first; special tokens stay whatever the size."""
@@ -125,10 +126,10 @@ def build_vocab_from_tokens(tokens: Iterable[str], maximum_size: int = 0, minimu
     return made
 
 
-def build_vocab_from_lines(lines: Iterable[str], tokenizer: Tokenizer | None = None, maximum_size: int = 0, minimum_frequency: int = 1, special_tokens: Iterable[str] | None = None) -> Vocab:
+def build_vocab_from_lines(lines: Iterable[str], loom: Loom | None = None, maximum_size: int = 0, minimum_frequency: int = 1, special_tokens: Iterable[str] | None = None) -> Vocab:
     made = Vocab(special_tokens)
     for line in lines:
-        made.add_from_text(line.rstrip("\r\n"), tokenizer)
+        made.add_from_text(line.rstrip("\r\n"), loom)
     made.resize(maximum_size, minimum_frequency)
     return made
 
@@ -136,22 +137,30 @@ def build_vocab_from_lines(lines: Iterable[str], tokenizer: Tokenizer | None = N
 # tables
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def token_frequencies(df: DataFrame, tokens: Column | str, order: list[str] | None = None) -> DataFrame:
-    """token, n, and where it comes first (if order columns are given): one hash aggregate."""
+    """token, n, and where it comes first (if order columns are given): a hash aggregate if there are none, or one of whole numbers, whose place goes into one decimal with the token's. A null comes first."""
     column = F.col(tokens) if isinstance(tokens, str) else tokens
     if not order:
         return df.select(F.explode(column).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rows = df.select(*order, F.posexplode(column).alias("pos", "token"))
-    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(*order, "pos")).alias("first"))
+    if len(order) == 1 and dict(df.dtypes)[order[0]] in WHOLE:
+        place = F.coalesce(F.col(order[0]).cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(2**32).cast("decimal(11,0)")
+        rows = df.select(place.cast("decimal(38,0)").alias("place"), F.posexplode(column).alias("pos", "token")).select("token", (F.col("place") + F.col("pos")).cast("decimal(38,0)").alias("first"))
+    else:
+        rows = df.select(*order, F.posexplode(column).alias("pos", "token")).select("token", F.struct(*order, "pos").alias("first"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
 def _numbered(table: DataFrame, by: list[Column]) -> DataFrame:
-    """table with id: the place in the order of `by`. Counts of sorted partitions give each its first id, so no task sees all rows."""
-    parts = table.sort(*by).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = sizes.select(F.col("_part").alias("_own"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_base"))
-    within = F.row_number().over(W.partitionBy("_part").orderBy("_mono"))
-    return parts.withColumn("_row", within).join(F.broadcast(base), F.col("_part") == F.col("_own")).withColumn("id", (F.col("_base") + F.col("_row") - 1).cast("long")).drop("_part", "_mono", "_own", "_base", "_row")
+    """table with id: the place in the order of `by`. The sorted table is written with the place of each row in its partition, and what was written gives each partition its first id: no task sees
+    all rows, and no part is computed twice, which adaptive plans might cut in other places."""
+    parts = written(table.sort(*by).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33)
+    base = parts.groupBy(part.alias("_own")).agg(F.count("*").alias("_n"))
+    base = base.select("_own", (F.sum("_n").over(W.orderBy("_own")) - F.col("_n")).alias("_base"))  # a row for each partition
+    return parts.join(F.broadcast(base), part == F.col("_own")).withColumn("id", F.col("_base") + F.col("_place").bitwiseAND(2**33 - 1)).drop("_place", "_own", "_base")
 
 
 def build_vocab(df: DataFrame, tokens: Column | str, order: list[str], *, maximum_size: int = 0, minimum_frequency: int = 1, special_tokens: Iterable[str] = ()) -> DataFrame:
@@ -159,27 +168,21 @@ def build_vocab(df: DataFrame, tokens: Column | str, order: list[str], *, maximu
     special = list(special_tokens)
     counted = token_frequencies(df, tokens, order).filter(~F.col("token").isin(special)) if special else token_frequencies(df, tokens, order)
     fixed = df.sparkSession.createDataFrame([(k, t, Decimal(MOST)) for k, t in enumerate(special)], f"id long, token string, frequency {FREQUENCY}")
-    resized = maximum_size or minimum_frequency != 1
-    first = [F.col("first")]
-    if resized:
-        kept = counted.filter(F.col("n") >= minimum_frequency).withColumn("first", F.col("first"))
-        by = [F.desc("n"), *first]
-        kept = kept.orderBy(*by).limit(max(0, maximum_size - len(special))) if maximum_size else kept
+    if maximum_size or minimum_frequency != 1:
+        body = _numbered(counted.filter(F.col("n") >= minimum_frequency), [F.desc("n"), F.col("first")])
+        body = body.filter(F.col("id") < maximum_size - len(special)) if maximum_size else body
     else:
-        kept, by = counted, first
-    body = _numbered(kept, by).select((F.col("id") + len(special)).alias("id"), "token", F.col("n").cast(FREQUENCY).alias("frequency"))
-    return fixed.unionByName(body)
+        body = _numbered(counted, [F.col("first")])
+    return fixed.unionByName(body.select((F.col("id") + len(special)).alias("id"), "token", F.col("n").cast(FREQUENCY).alias("frequency")))
 
 
 def resize(table: DataFrame, maximum_size: int = 0, minimum_frequency: int = 1) -> DataFrame:
+    """Most frequent first; special tokens stay whatever the size."""
     if not maximum_size and minimum_frequency == 1:
         return table
-    kept = table.filter(F.col("frequency") >= minimum_frequency)
-    by = [F.desc("frequency"), F.col("id")]
-    if maximum_size:
-        special = kept.filter(F.col("frequency") == F.lit(Decimal(MOST))).count()
-        kept = kept.orderBy(*by).limit(max(maximum_size, special))
-    return _numbered(kept.withColumnRenamed("id", "_old"), [F.desc("frequency"), F.col("_old")]).select("id", "token", "frequency")
+    kept = table.filter(F.col("frequency") >= minimum_frequency).withColumnRenamed("id", "_old")
+    kept = _numbered(kept, [F.desc("frequency"), F.col("_old")]).select("id", "token", "frequency")
+    return kept.filter((F.col("id") < maximum_size) | (F.col("frequency") == F.lit(Decimal(MOST)))) if maximum_size else kept
 
 
 def default_id(table: DataFrame) -> int:
@@ -187,20 +190,26 @@ def default_id(table: DataFrame) -> int:
     return found["id"] if found else table.count()
 
 
-def encode_ids(df: DataFrame, tokens: str, table: DataFrame, key: list[str], *, default: int | None = None, out: str = "ids") -> DataFrame:
-    """df with the ids of an array<string> column. A vocabulary of at most SMALL tokens goes into each row's expression; a larger one is joined, token by token.
-
-    key names a row for the join.
-    """
-    default = default_id(table) if default is None else default
+def encode_ids(df: DataFrame, tokens: str, table: DataFrame, *, default: int | None = None, out: str = "ids") -> DataFrame:
+    """df with the ids of an array<string> column, null for null. A vocabulary of at most SMALL tokens goes into each row's expression. A larger one is joined, token by token: the rows are written with
+    a number each, by which the ids go back to them, so rows may be alike."""
+    default = F.lit(default_id(table) if default is None else default).cast("long")
     small = table.select("token", "id").limit(SMALL + 1).collect()
     if len(small) <= SMALL:
-        lookup = df.sparkSession.createDataFrame([({r["token"]: r["id"] for r in small},)], "_map map<string,bigint>")
-        joined = df.crossJoin(F.broadcast(lookup))  # one row, its size checked above
-        return joined.withColumn(out, F.transform(tokens, lambda t: F.coalesce(F.col("_map")[t], F.lit(default).cast("long")))).drop("_map")
-    rows = df.select(*key, F.posexplode_outer(tokens).alias("_pos", "token")).join(table.select("token", "id"), "token", "left")
-    ids = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(default)).alias("id"))))).alias("_ids"))
-    return df.join(ids.withColumn(out, F.transform("_ids", lambda x: x["id"])).drop("_ids"), key)
+        lookup = F.broadcast(df.sparkSession.createDataFrame([({r["token"]: r["id"] for r in small},)], "map map<string,bigint>"))  # one row, its size checked above
+        ids = F.transform(F.col(f"row.{tokens}"), lambda t: F.coalesce(F.col("map")[t], default))
+        return _with(df.select(F.struct(*df.columns).alias("row")).crossJoin(lookup), df, ids, out)
+    held = written(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    rows = held.select("number", F.posexplode_outer(f"row.{tokens}").alias("pos", "token")).join(table.select("token", "id"), "token", "left")
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", default).alias("id")))
+    ids = rows.groupBy("number").agg(F.array_sort(F.collect_list(found)).alias("ids"))
+    made = F.when(F.col(f"row.{tokens}").isNotNull(), F.transform("ids", lambda x: x["id"]))
+    return _with(held.join(ids, "number"), df, made, out)
+
+
+def _with(rows: DataFrame, df: DataFrame, value: Column, out: str) -> DataFrame:
+    """The columns of df, which rows hold in `row`, with value as column out."""
+    return rows.select(*(value.alias(c) if c == out else F.col(f"row.`{c}`").alias(c) for c in df.columns), *([] if out in df.columns else [value.alias(out)]))
 
 
 def lookup(df: DataFrame, token: str, table: DataFrame, *, default: int | None = None, out: str = "id") -> DataFrame:

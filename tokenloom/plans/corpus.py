@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.loom import Loom
 
 
-def token_rollup(docs: DataFrame, tokenizer: Tokenizer, groups: list[str], *, text: str = "text") -> DataFrame:
+def token_rollup(docs: DataFrame, loom: Loom, groups: list[str], *, text: str = "text") -> DataFrame:
     """Documents, tokens and characters by groups, their prefixes, and in all."""
-    n = docs.select(*groups, F.size(tokenizer.column(text)).alias("n"), F.char_length(text).alias("c"))
+    n = docs.select(*groups, F.size(loom.column(text)).alias("n"), F.char_length(text).alias("c"))
     return n.rollup(*groups).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.sum("c").alias("chars"))
 
 
@@ -27,12 +27,12 @@ def character_histogram(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return chars.groupBy(T.char_type("ch").alias("type"), T.char_case("ch").alias("case")).agg(F.sum("n").alias("n"))
 
 
-def token_rows(docs: DataFrame, tokenizer: Tokenizer, key: str, *, text: str = "text") -> DataFrame:
+def token_rows(docs: DataFrame, loom: Loom, key: str, *, text: str = "text") -> DataFrame:
     """One row for each token: key, pos, surface, join_left, join_right, by the native tier where it covers the options."""
     from tokenloom.operators import native
 
-    if tokenizer.is_native and tokenizer.options.mode not in ("space", "none"):
-        marked = native.annotated(native.lexemes(F.col(text), tokenizer.options), tokenizer.options)
+    if loom.is_native and loom.options.mode not in ("space", "none"):
+        marked = native.annotated(native.lexemes(F.col(text), loom.options), loom.options)
     else:
-        marked = tokenizer.token_column(text)
+        marked = loom.token_column(text)
     return docs.select(key, F.posexplode(marked).alias("pos", "t")).select(key, "pos", "t.surface", "t.join_left", "t.join_right")

@@ -11,7 +11,7 @@ from tokenloom.functions import text as T
 from tokenloom.operators import native, vocab
 from tokenloom.operators.bpe import BPE
 from tokenloom.operators.learn import BPELearner, learn_merges, pair_counts, word_counts
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.loom import Loom
 from tokenloom.options import Options
 from tokenloom.plans import corpus
 
@@ -22,7 +22,7 @@ def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFra
 
 def _line(**options):
     def query(spark, sf_dir):
-        tokens = Tokenizer(Options(**options)).column("text")
+        tokens = Loom(Options(**options)).column("text")
         return _docs(spark, sf_dir).select("doc_id", tokens.alias("t")).select("doc_id", F.array_join("t", " ").alias("tokens"), F.size("t").cast("long").alias("n_tokens"))
 
     return query
@@ -45,46 +45,46 @@ PYTHON_LINES = {
 
 
 def tok_conversations(spark, sf_dir):
-    t = Tokenizer()
+    t = Loom()
     return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t.column("text")).cast("long").alias("n_tokens"))
 
 
 def tok_pages(spark, sf_dir):
-    t = Tokenizer("aggressive")
+    t = Loom("aggressive")
     return _docs(spark, sf_dir, "pages").select("page_id", F.size(t.column("html")).cast("long").alias("n_tokens"), t.line_column("html").alias("tokens"))
 
 
 def tok_lines(spark, sf_dir):
     """Line by line, as files are read."""
-    t = Tokenizer()
+    t = Loom()
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return lines.select("doc_id", "line", t.line_column("text").alias("tokens"))
 
 
 def token_objects(spark, sf_dir):
-    rows = corpus.token_rows(_docs(spark, sf_dir), Tokenizer("aggressive", joiner_annotate=True), "doc_id")
+    rows = corpus.token_rows(_docs(spark, sf_dir), Loom("aggressive", joiner_annotate=True), "doc_id")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("join_left").cast("long")).alias("n_left"), F.sum(F.col("join_right").cast("long")).alias("n_right"), F.sum(F.col("pos") * F.char_length("surface")).alias("weight"))
 
 
 def detok_joiner(spark, sf_dir):
-    t = Tokenizer("aggressive", joiner_annotate=True)
+    t = Loom("aggressive", joiner_annotate=True)
     return _docs(spark, sf_dir).select("doc_id", t.column("text").alias("t")).select("doc_id", native.detokenize(F.col("t"), t.options).alias("text"))
 
 
 def detok_spacer(spark, sf_dir):
-    t = Tokenizer("conservative", spacer_annotate=True)
+    t = Loom("conservative", spacer_annotate=True)
     return _docs(spark, sf_dir).select("doc_id", t.column("text").alias("t")).select("doc_id", native.detokenize(F.col("t"), t.options).alias("text"))
 
 
 def detok_case_markup(spark, sf_dir):
     """Back from lower-case tokens with case markup, by the state machine."""
-    t = Tokenizer("aggressive", joiner_annotate=True, case_markup=True)
+    t = Loom("aggressive", joiner_annotate=True, case_markup=True)
     return _docs(spark, sf_dir).select("doc_id", t.detokenized(t.column("text")).alias("text"))
 
 
 def _ranges(unicode):
     def query(spark, sf_dir):
-        t = Tokenizer()
+        t = Loom()
         rows = _docs(spark, sf_dir).select("doc_id", native.ranges(t.column("text"), t.options, unicode=unicode).alias("r")).select("doc_id", F.explode("r").alias("r"))
         return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("r.start").alias("starts"), F.sum("r.end").alias("ends"), F.max("r.end").alias("last"))
 
@@ -92,23 +92,23 @@ def _ranges(unicode):
 
 
 def ranges_merged(spark, sf_dir):
-    t = Tokenizer("aggressive", joiner_annotate=True)
+    t = Loom("aggressive", joiner_annotate=True)
     return _docs(spark, sf_dir).select("doc_id", F.explode(t.ranges_column(t.column("text"), merge=True, unicode=True)).alias("r")).select("doc_id", "r.token", "r.start", "r.end")
 
 
 def case_feature(spark, sf_dir):
-    made = native.case_features(Tokenizer().column("text"))
+    made = native.case_features(Loom().column("text"))
     line = F.array_join(F.transform("f", lambda x: F.concat(x["token"], F.lit("￨"), x["casing"])), " ")
     return _docs(spark, sf_dir).select("doc_id", made.alias("f")).select("doc_id", line.alias("line"))
 
 
 def case_histogram(spark, sf_dir):
-    return corpus.casing_histogram(_docs(spark, sf_dir), Tokenizer().column("text"))
+    return corpus.casing_histogram(_docs(spark, sf_dir), Loom().column("text"))
 
 
 def case_restore(spark, sf_dir):
     """Tokens back from lower case and their casing; mixed ones keep what they were."""
-    t = Tokenizer().column("text")
+    t = Loom().column("text")
     back = F.transform("f", lambda x: F.when(x["casing"] == "M", "?").otherwise(native.restore_casing(x["token"], F.when(x["casing"] == "M", "N").otherwise(x["casing"]))))
     return _docs(spark, sf_dir).select("doc_id", native.case_features(t).alias("f")).select("doc_id", F.array_join(back, " ").alias("tokens"))
 
@@ -125,7 +125,7 @@ def char_functions(spark, sf_dir):
 
 def char_alphabets(spark, sf_dir):
     """Characters by script over all documents."""
-    counted = _docs(spark, sf_dir).select(F.explode(Tokenizer("aggressive").alphabet_column("text")).alias("alphabet", "n"))
+    counted = _docs(spark, sf_dir).select(F.explode(Loom("aggressive").alphabet_column("text")).alias("alphabet", "n"))
     return counted.groupBy("alphabet").agg(F.sum("n").alias("n"))
 
 
@@ -136,7 +136,7 @@ def placeholder_filter(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir, **limits):
-    docs = _docs(spark, sf_dir).select("doc_id", Tokenizer().column("text").alias("t"))
+    docs = _docs(spark, sf_dir).select("doc_id", Loom().column("text").alias("t"))
     return vocab.build_vocab(docs, "t", ["doc_id"], special_tokens=["<blank>", "<unk>"], **limits)
 
 
@@ -154,8 +154,8 @@ def vocab_minimum_frequency(spark, sf_dir):
 
 def vocab_encode(spark, sf_dir):
     table = _vocabulary(spark, sf_dir, maximum_size=1000)
-    docs = _docs(spark, sf_dir).select("doc_id", Tokenizer().column("text").alias("t"))
-    out = vocab.encode_ids(docs, "t", table, ["doc_id"])
+    docs = _docs(spark, sf_dir).select("doc_id", Loom().column("text").alias("t"))
+    out = vocab.encode_ids(docs, "t", table)
     return out.select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
@@ -166,16 +166,16 @@ def vocab_decode(spark, sf_dir):
 
 def vocab_out_of(spark, sf_dir):
     """Tokens that are not in the vocabulary, by document."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(Tokenizer().column("text")).alias("token"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(Loom().column("text")).alias("token"))
     return vocab.in_vocabulary(rows, "token", _vocabulary(spark, sf_dir, maximum_size=1000), absent=True).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def learn_word_counts(spark, sf_dir):
-    return word_counts(_docs(spark, sf_dir), "text", Tokenizer("space"))
+    return word_counts(_docs(spark, sf_dir), "text", Loom("space"))
 
 
 def learn_pair_counts(spark, sf_dir):
-    return pair_counts(word_counts(_docs(spark, sf_dir), "text", Tokenizer("aggressive")))
+    return pair_counts(word_counts(_docs(spark, sf_dir), "text", Loom("aggressive")))
 
 
 def learn_first_merge(spark, sf_dir):
@@ -183,7 +183,7 @@ def learn_first_merge(spark, sf_dir):
 
 
 def _merges(spark, sf_dir, symbols):
-    words = word_counts(_docs(spark, sf_dir), "text", Tokenizer("aggressive"))
+    words = word_counts(_docs(spark, sf_dir), "text", Loom("aggressive"))
     return learn_merges({r["word"]: r["n"] for r in words.toLocalIterator()}, symbols)
 
 
@@ -193,15 +193,15 @@ def learn_bpe(spark, sf_dir):
 
 def bpe_encode(spark, sf_dir):
     model = ["#version: 0.2", *(" ".join(m) for m in _merges(spark, sf_dir, 100))]
-    t = Tokenizer(Options(mode="aggressive", joiner_annotate=True), encoder=BPE(model))
+    t = Loom(Options(mode="aggressive", joiner_annotate=True), encoder=BPE(model))
     return _docs(spark, sf_dir).select("doc_id", t.line_column("text").alias("tokens"))
 
 
 def bpe_encode_words(spark, sf_dir):
     """Each different word is encoded once; documents get sizes by a join."""
     model = ["#version: 0.2", *(" ".join(m) for m in _merges(spark, sf_dir, 100))]
-    t = Tokenizer(Options(mode="none", no_substitution=True, joiner_annotate=True), encoder=BPE(model))
-    words = _docs(spark, sf_dir).select("doc_id", F.explode(Tokenizer("aggressive").column("text")).alias("word"))
+    t = Loom(Options(mode="none", no_substitution=True, joiner_annotate=True), encoder=BPE(model))
+    words = _docs(spark, sf_dir).select("doc_id", F.explode(Loom("aggressive").column("text")).alias("word"))
     pieces = words.select("word").distinct().withColumn("n", F.size(t.column("word")))
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("times")).join(pieces, "word").groupBy("doc_id").agg(F.sum(F.col("times") * F.col("n")).alias("n_pieces"))
 
@@ -209,7 +209,7 @@ def bpe_encode_words(spark, sf_dir):
 def bpe_dropout(spark, sf_dir):
     """Random merges that reruns repeat: a row draws by the seed and its key."""
     model = ["#version: 0.2", *(" ".join(m) for m in _merges(spark, sf_dir, 100))]
-    t = Tokenizer(Options(mode="aggressive", joiner_annotate=True), encoder=BPE(model, dropout=0.3))
+    t = Loom(Options(mode="aggressive", joiner_annotate=True), encoder=BPE(model, dropout=0.3))
     return _docs(spark, sf_dir).select("doc_id", F.size(t.column("text", seed=42, key="doc_id")).cast("long").alias("n"))
 
 
@@ -223,7 +223,7 @@ def sp_encode(spark, sf_dir):
 
 
 def corpus_rollup(spark, sf_dir):
-    return corpus.token_rollup(_docs(spark, sf_dir), Tokenizer(), ["lang", "source"])
+    return corpus.token_rollup(_docs(spark, sf_dir), Loom(), ["lang", "source"])
 
 
 def stream_tokens(spark, sf_dir):
@@ -233,7 +233,7 @@ def stream_tokens(spark, sf_dir):
     schema = _docs(spark, sf_dir).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     out, state = _scratch(spark), _scratch(spark)
-    run = tokenize_stream(source.select("doc_id", "text"), Tokenizer(), column="text").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run = tokenize_stream(source.select("doc_id", "text"), Loom(), column="text").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema("doc_id long, text string").parquet(out).withColumnRenamed("text", "tokens")
 
@@ -244,7 +244,7 @@ def stream_vocabulary(spark, sf_dir):
     schema = _docs(spark, sf_dir).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     out, state = _scratch(spark), _scratch(spark)
-    table = running_vocabulary(source.select("text"), Tokenizer(), column="text")
+    table = running_vocabulary(source.select("text"), Loom(), column="text")
     run = table.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(out)).start()
     run.awaitTermination()
     rows = spark.read.schema("token string, n long, batch long").parquet(out)
@@ -262,7 +262,7 @@ def _scratch(spark) -> str:
 
 def io_line_round_trip(spark, sf_dir):
     """Token lines read back: tokens that were written, counted again."""
-    t = Tokenizer("aggressive", joiner_annotate=True)
+    t = Loom("aggressive", joiner_annotate=True)
     return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(F.split(t.line_column("text", "++"), "\\+\\+"), lambda x: x != "")).cast("long").alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.annotate import read_line, write_line
-from tokenloom.operators.tokenizer import Tokenizer
+from tokenloom.operators.loom import Loom
 
 
 def read_lines(spark: SparkSession, path: str | list[str], *, numbered: bool = False) -> DataFrame:
@@ -25,22 +25,22 @@ def _write(lines: DataFrame, output: str, ordered: bool) -> None:
     lines.select("line").write.text(output, lineSep="\n")
 
 
-def tokenize_text_files(spark: SparkSession, input_path: str | list[str], output_path: str, tokenizer: Tokenizer, *, delimiter: str = " ", training: bool = True, ordered: bool = False, progress: str | None = None) -> None:
+def tokenize_text_files(spark: SparkSession, input_path: str | list[str], output_path: str, loom: Loom, *, delimiter: str = " ", training: bool = True, ordered: bool = False, progress: str | None = None) -> None:
     """Tokenize every line. progress: the name under which listeners see the number of lines done."""
     lines = read_lines(spark, input_path, numbered=ordered)
-    out = lines.withColumn("line", tokenizer.line_column("line", delimiter, training=training))
+    out = lines.withColumn("line", loom.line_column("line", delimiter, training=training))
     _write(out.observe(progress, F.count(F.lit(1)).alias("lines")) if progress else out, output_path, ordered)
 
 
-def detokenize_text_files(spark: SparkSession, input_path: str | list[str], output_path: str, tokenizer: Tokenizer, *, delimiter: str = " ", ordered: bool = False) -> None:
+def detokenize_text_files(spark: SparkSession, input_path: str | list[str], output_path: str, loom: Loom, *, delimiter: str = " ", ordered: bool = False) -> None:
     lines = read_lines(spark, input_path, numbered=ordered)
-    _write(lines.withColumn("line", detokenized_lines(tokenizer, delimiter)("line")), output_path, ordered)
+    _write(lines.withColumn("line", detokenized_lines(loom, delimiter)("line")), output_path, ordered)
 
 
-def detokenized_lines(tokenizer: Tokenizer, delimiter: str = " "):
+def detokenized_lines(loom: Loom, delimiter: str = " "):
     """A column function from token lines to texts."""
     def texts(lines: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else tokenizer.detokenize(*read_line(x, delimiter)) for x in lines.to_pylist()], pa.string())
+        return pa.array([None if x is None else loom.detokenize(*read_line(x, delimiter)) for x in lines.to_pylist()], pa.string())
 
     return F.arrow_udf(texts, "string")
 
