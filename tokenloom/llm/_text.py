@@ -6,9 +6,8 @@ A batch of texts is one byte array plus row offsets; words and pre-tokens are in
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +29,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        spark.conf.set("spark.checkpoint.dir", base := tempfile.mkdtemp(prefix="tokenloom-"))
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def lean(rows):
+    """The batch function rows, after which its worker gives memory back: workers stay for later tasks and stages, and what they have freed would else count as theirs."""
 
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
 
-def written(df, name: str):
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:

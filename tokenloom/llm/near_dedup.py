@@ -4,12 +4,12 @@ A text is its words (A-Z in lower case); its k-mers are runs of SHINGLE words, l
 labelled k-mers are kept in text order: a sketch that changes with edits and with moved text. Texts that share a sketch are candidates, and candidates are verified: an alignment
 of their k-mer sequences within the band that THRESHOLD allows gives the matched k-mers M, and they are near duplicates if M / (n1 + n2 - M) >= THRESHOLD.
 
-Equal word sequences are one class before anything is compared, so copies are never paired. In a bucket every text is compared with one hub, the first in a
-seeded order of that sketch and turn; in later turns with one that is in another class by then, or with HUBS of them where the bucket is small. So a turn compares as many pairs as there
-are texts in buckets, and never all pairs of a group. Hubs leave pairs of a bucket uncompared, so what TURNS turns leave apart goes to an exact search: all texts of buckets that
-still hold several classes are joined by the first k-mers of each in one common order, rare ones first. Of n labelled k-mers these are n - ceil(THRESHOLD * n) + 1, and two near
-duplicates can't but share one of them; pairs whose sizes or places in that order leave too few k-mers to share are not made, nor pairs whose parity bits (of the number of k-mers hashed to
-each) differ in more places than k-mers may be unmatched, since each unmatched k-mer changes one bit. No pair that shares a bucket is lost. Links become
+Equal word sequences are one class before anything is compared, so copies are never paired. Each text of a bucket is compared with one hub, the member whose buckets hold most texts: of a
+family of edited copies that is the least edited one. That makes as many pairs as there are texts in buckets, and links most of them. Pairs of a bucket that lie in different classes after that go to
+an exact search, which works on differences from the hub: S(x) is the set of labelled k-mers that x or the hub has, but not both. Two texts of n1 and n2 k-mers are near duplicates only if
+|S(x) - S(y)| + |S(y) - S(x)| <= (n1 + n2) (1 - THRESHOLD) / (1 + THRESHOLD), so they share (|S(x)| + |S(y)| - that) / 2 differences or more, and if this is above 0, one of the first few of
+each in a common order, the rare ones first, and at places that leave enough of both. Edits that are not shared are rare in a family, so what the search pairs are texts with edits in common, not all pairs of
+a family. Only where none need be shared (a text that has the hub's k-mers in another order) are the texts nearest the hub its candidates. No pair that shares a bucket is lost. Links become
 classes by minimum labels with pointer jumping over tables in the shared folder. At similarity 0.8 a pair shares none of 16 sketches of 2 with a chance of about (1 - 0.64)**16, 8e-8.
 
 Nulls: a null text is an empty one; texts without words are copies of each other. Texts of 1 to 4 words have one k-mer. A null doc_id takes part; the class id is the smallest doc_id of a
@@ -20,20 +20,18 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, ragged, slices, span_hash, words, written
+from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, ragged, slices, span_hash, words
+from tokenloom.sources.tables import discard, written
 
 SHINGLE, SKETCHES, PICK, THRESHOLD = 5, 16, 2, 0.8
-TURNS = 3
-HUBS, SMALL = 4, 24  # hubs of a bucket of at most SMALL texts, from the second turn; larger ones have one a turn
-CELLS = 1 << 20  # counts that order k-mers by rarity, at most so many whatever the input
-PARITY = 8  # 64-bit words of a text's parity bits
+CELLS = 1 << 20  # counts that order differences by rarity, at most so many whatever the input
+NONE_SHARED = -1  # the place of what texts near their hub have in common
 _orders = np.random.default_rng(8).integers(1, 2**62, (SKETCHES, 2), dtype=np.uint64) * U64(2) + U64(1)
 _LAST = U64(2**64 - 1)
 
@@ -177,41 +175,21 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(rows, "k1 long, k2 long, seq binary")
 
 
-def _similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-    return pa.array([aligned(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(left, right, strict=True)], pa.float64())
-
-
-def components(links: DataFrame, name: str = "labels") -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label: the smallest node of its component) for links (a, b). Every round halves distances: each node takes the least label about it, then that label's label."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-    labels = written(labels, name)
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.lit(None).cast("long").alias("was"), F.least("node", "least").alias("label"))
+    after = written(labels, "labels")
     while True:
+        before, labels = after, after.select("node", "label")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
         taken = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "least").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = written(taken.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")), name)
-        labels = after.select("node", "label")
+        after = written(taken.join(up, "label", "left").select("node", "was", F.least("label", "up").alias("label")), "labels")
+        discard(before)
         if after.filter("was <> label").isEmpty():
-            return labels
-
-
-def _candidates(crowded: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket, are not in one class yet, and one of which is a hub of the bucket in this turn."""
-    rows = crowded.withColumn("label", F.col("t"))
-    if labels is not None:
-        rows = crowded.join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
-    place = F.xxhash64("t", "j", F.lit(turn))
-    hubs = rows.groupBy("j", "s", F.pmod(place, F.when((F.col("n") <= SMALL) & F.lit(turn > 0), HUBS).otherwise(1)).alias("seat")).agg(F.min(F.struct(place.alias("place"), "t", "label")).alias("hub"))
-    pairs = rows.join(hubs, ["j", "s"]).filter(F.col("label") != F.col("hub.label"))
-    return pairs.select(F.least("t", "hub.t").alias("a"), F.greatest("t", "hub.t").alias("b")).distinct()
-
-
-def _left_apart(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(t, label) of the texts of buckets that hold several classes; a bucket of two has been compared by its hub."""
-    rows = crowded.filter("n > 2").join(labels.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
-    apart = rows.groupBy("j", "s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("j", "s")
-    return rows.join(apart, ["j", "s"]).select("t", "label").distinct()
+            discard(both)
+            return after
 
 
 def _labelled(seq: np.ndarray) -> np.ndarray:
@@ -223,103 +201,140 @@ def _labelled(seq: np.ndarray) -> np.ndarray:
     return mix(run.astype(np.uint64) + label.astype(np.uint64) * U64(0xA24BAED4963EE407))
 
 
-def first_kmers(k: np.ndarray, counts: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """The labelled k-mers of which a near duplicate shares one: as many as may be missing, and one more, those of the lowest counts first."""
-    k = k[np.lexsort((k, counts[(k % U64(len(counts))).astype(np.int64)]))]
-    return k[: len(k) - int(np.ceil(threshold * len(k) - 1e-9)) + 1]
+def difference(x: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """32-bit names of the k-mers that one of two lists of labelled k-mers has and the other has not."""
+    return (np.setxor1d(x, hub, assume_unique=True) >> U64(32)).astype("<u4")
 
 
-def parity(k: np.ndarray) -> np.ndarray:
-    """One bit for each of 64 * PARITY classes of labelled k-mers: whether their number is odd."""
-    odd = np.bincount((k >> U64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _compared(pairs: DataFrame, sequences: DataFrame, threshold: float, *, hubs: bool) -> DataFrame:
+    """Of pairs (a, b) those that are near duplicates; with hubs, all pairs with linked, n (k-mers of a), and their difference(), b being the hub."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, known = None, None
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            linked, sizes, gone = [], [], []
+            for k in range(batch.num_rows):
+                x, y = np.frombuffer(left[k].as_buffer(), "<u4"), np.frombuffer(right[k].as_buffer(), "<u4")
+                linked.append(aligned(x, y, threshold) >= threshold)
+                if hubs:
+                    if batch.column(1)[k].as_py() != hub:  # rows of one hub are neighbours
+                        hub, known = batch.column(1)[k].as_py(), _labelled(y)
+                    sizes.append(len(x))
+                    gone.append(difference(_labelled(x), known).tobytes())
+            linked = pa.array(linked, pa.bool_())
+            if hubs:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], linked, pa.array(sizes, pa.int32()), pa.array(gone, pa.binary())], names=["a", "b", "linked", "n", "gone"])
+            else:
+                yield batch.select([0, 1]).filter(linked)
+
+    # a hub's pairs are split by adaptive skew handling
+    both = pairs.join(sequences.select(F.col("t").alias("a"), F.col("seq").alias("left")), "a").join(sequences.select(F.col("t").alias("b"), F.col("seq").alias("right")), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(rows, "a long, b long" + ", linked boolean, n int, gone binary" * hubs)
+
+
+def first_places(n: int, d: int, threshold: float) -> int:
+    """How many differences from a hub, of d in the common order, must be looked up for a text of n k-mers: a near duplicate shares one of them, or none at all need be shared."""
+    return min(d, int(n * (1 - threshold) / threshold + 1e-9) + 1)
 
-def _rest_pairs(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different classes that may be near duplicates, from rest (t, label, seq)."""
+
+def _rest_pairs(rest: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different classes under one hub that may be near duplicates, from rest (t, hub, n, gone, label, open: not in the hub's class), and the written table that they come from."""
+
+    def keyed(hub: int, gone) -> np.ndarray:
+        return mix((np.frombuffer(gone, "<u4") if gone is not None else np.array([1 << 32])).astype(np.uint64) + U64(hub * 0x9E3779B97F4A7C15 & 2**64 - 1))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for seq in batch.column(0):
-                sums += np.bincount((_labelled(np.frombuffer(seq.as_py(), "<u4")) % U64(CELLS)).astype(np.int64), minlength=CELLS)
+            for hub, gone in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                np.add.at(sums, (keyed(hub, gone.as_buffer()) % U64(CELLS)).astype(np.int64), 1)
         used = np.flatnonzero(sums)
         for a in range(0, len(used), 1 << 16):
             some = used[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], names=["cell", "n"])
 
-    table = rest.select("seq").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
-    counts = np.zeros(CELLS, np.int64)
-    counts[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    held = rest.sparkSession.sparkContext.broadcast(counts)
+    spark = rest.sparkSession
+    sums = rest.select("hub", "gone").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = sums.filter("n > 1").toArrow()  # at most CELLS rows; what occurs once comes first anyway
+    counts = np.zeros(CELLS, np.int32)
+    counts[table.column(0).to_numpy()] = np.minimum(table.column(1).to_numpy(), 2**31 - 1)
+    held = spark.sparkContext.broadcast(counts)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_labelled(np.frombuffer(seq.as_py(), "<u4")) for seq in batch.column(4)]
-            found = [first_kmers(k, held.value, threshold) for k in texts]
-            n = np.array([len(f) for f in found])
-            own = batch.select([0, 1, 2, 3]).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            sizes, bits = np.repeat([len(k) for k in texts], n).astype(np.int32), np.repeat(np.stack([parity(k) for k in texts]), n, 0)
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found).view(np.int64)), pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=names)
-
-    flat = rest.select("t.k1", "t.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "seq")
-    bits = [f"p{c}" for c in range(PARITY)]
-    names = ["k1", "k2", "l1", "l2", "kmer", "place", "size", *bits]
-    rows = flat.mapInArrow(firsts, ", ".join(f"{c} {'int' if c in ('place', 'size') else 'long'}" for c in names))
-    rows = written(rows.select(F.struct("k1", "k2").alias("t"), F.struct("l1", "l2").alias("label"), "kmer", "place", "size", *bits), "firsts")
-    left, right = rows.alias("x"), rows.alias("y")
-    need = threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-6
-    may = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + F.least("x.place", "y.place") >= need
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits])
-    fits = (F.col("x.t") < F.col("y.t")) & (F.col("x.label") != F.col("y.label")) & may & (differ <= F.col("x.size") + F.col("y.size") - 2 * need)
-    return left.join(right, (F.col("x.kmer") == F.col("y.kmer")) & fits).select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
+            keys, places, sizes, own = [], [], [], []
+            for k, (hub, n, gone) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                key = keyed(hub, gone.as_buffer())
+                d = len(key)
+                key = key[np.lexsort((key, held.value[(key % U64(CELLS)).astype(np.int64)]))][: first_places(n, d, threshold)]
+                keys.append(key)
+                places.append(np.arange(len(key)))
+                if near := d <= n * (1 - threshold) / threshold:  # may be a near duplicate of a text that shares no difference with it
+                    keys.append(keyed(hub, None))
+                    places.append(np.array([NONE_SHARED]))
+                sizes.append(np.full(len(key) + near, d))
+                own.append(np.full(len(key) + near, k))
+            if own:
+                at = np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(sizes), pa.int32()),
+                    *(batch.column(c).take(pa.array(at)) for c in (0, 2, 4, 5)),
+                ], names=["key", "place", "d", "t", "n", "label", "open"])
+
+    flat = rest.select("t", "hub", "n", "gone", "label", "open")
+    rows = written(flat.mapInArrow(firsts, "key long, place int, d int, t long, n int, label long, open boolean"), "firsts")
+    x, y = rows.filter("open").alias("x"), rows.alias("y")
+    sizes = F.col("x.n") + F.col("y.n")
+    fit = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-6
+    need = (F.col("x.d") + F.col("y.d") - sizes * ((1 - threshold) / (1 + threshold))) / 2 - 1e-6  # differences that a near duplicate shares, at least
+    may = F.when(F.col("x.place") < 0, need <= 0).otherwise(F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place")) >= need)
+    once = ~F.col("y.open") | (F.col("x.t") < F.col("y.t"))
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & fit & may)
+    return found.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct(), rows
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, k1, k2 of each row; k1, k2, label of the class, class_id, copies, n_links of each text)."""
+    """(id, k1, k2 of each row; k1, k2, label of the class, class_id, copies of each text)."""
     keys = written(text_keys(docs, id_col=id_col, text_col=text_col), "keys")
-    texts = written(keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")), "texts")
-    spread = texts.filter("size(sketches) > 0").select(F.struct("k1", "k2").alias("t"), F.posexplode("sketches").alias("j", "s"))
-    shared = spread.groupBy("j", "s").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = written(spread.join(shared, ["j", "s"]), "crowded")  # members of buckets that hold several texts
-    wanted = crowded.select("t.k1", "t.k2").distinct()
-    sequences = written(_sequences(docs, id_col, text_col).join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(F.struct("k1", "k2").alias("t"), "seq"), "sequences")
-    links, tested, labels = [], [], None
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """Links among pairs that have not been compared before."""
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested.append(pairs)
-        # each pair with two texts' hashes; a hub's rows are split by adaptive skew handling
-        both = pairs.join(sequences.select(F.col("t").alias("a"), F.col("seq").alias("left")), "a").join(sequences.select(F.col("t").alias("b"), F.col("seq").alias("right")), "b")
-        return written(both.filter(F.arrow_udf(_similarity, "double")("left", "right") >= threshold).select("a", "b"), "links")
-
-    for turn in range(TURNS):
-        found = compared(_candidates(crowded, labels, turn))
-        links.append(found)
-        labels = components(reduce(DataFrame.union, links))
-        if turn and found.isEmpty():
-            break
-    rest = written(_left_apart(crowded, labels).join(sequences, "t"), "rest")
-    found = compared(_rest_pairs(rest, threshold))
-    if not found.isEmpty():
-        links.append(found)
-        labels = components(reduce(DataFrame.union, links))
-    links = reduce(DataFrame.union, links)
-    counts = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    joined = texts.withColumn("node", F.struct("k1", "k2")).join(labels, "node", "left").join(counts, "node", "left")
-    joined = joined.withColumn("label", F.coalesce("label", "node"))
-    least = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = joined.join(least, "label").select("k1", "k2", "label", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    texts = written(keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")).withColumn("t", F.monotonically_increasing_id()), "texts")
+    spread = texts.filter("size(sketches) > 0").select("t", F.explode("sketches").alias("s"))
+    shared = spread.groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = written(spread.join(shared, "s"), "crowded")  # members of buckets that hold several texts
+    # the hub of a bucket: the member whose buckets hold most texts, which is the least edited text of a family
+    crowd = crowded.groupBy("t").agg(F.sum("n").alias("crowd"))
+    ranked = crowded.join(crowd, "t").select("s", "t", (F.col("crowd") * 2**20 + F.pmod(F.xxhash64("t"), F.lit(2**20))).alias("rank"))
+    hubs = ranked.groupBy("s").agg(F.max_by("t", "rank").alias("hub"))
+    pairs = written(crowded.join(hubs, "s").filter("t <> hub").select(F.col("t").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    wanted = texts.select("k1", "k2", "t").join(crowd.select("t"), "t", "left_semi")
+    sequences = written(_sequences(docs, id_col, text_col).join(wanted, ["k1", "k2"]).dropDuplicates(["t"]).select("t", "seq"), "sequences")
+    tried = written(_compared(pairs, sequences, threshold, hubs=True), "tried")
+    labels = components(tried.filter("linked").select("a", "b"))
+    label_of = labels.select("node", "label")
+    rows = tried.select(F.col("a").alias("t"), F.col("b").alias("hub"), "n", "gone")
+    rows = rows.join(label_of.withColumnRenamed("node", "t"), "t", "left").join(label_of.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
+    rows = rows.select("t", "hub", "n", "gone", F.coalesce("label", "t").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label"))
+    rows = written(rows.withColumn("open", F.col("label") != F.col("hub_label")), "members")
+    apart = rows.groupBy("hub").agg(F.count("*").alias("n"), F.max("open").alias("some")).filter("some AND n > 1").select("hub")
+    rest = written(rows.join(apart, "hub", "left_semi"), "rest")
+    found, firsts = _rest_pairs(rest, threshold)
+    more = written(found, "more")
+    links = written(_compared(more, sequences, threshold, hubs=False), "links")
+    # the classes that these links join are nodes of a second, smaller graph
+    ends = links.join(label_of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label_of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    after = components(ends)
+    joined = texts.select("k1", "k2", "t", "rep", "copies").join(label_of.withColumnRenamed("node", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
+    joined = joined.join(after.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").withColumn("label", F.coalesce("final", "label"))
+    classes = written(joined.join(joined.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("k1", "k2", "label", "class_id", "copies"), "classes")
+    discard(texts, crowded, pairs, sequences, tried, labels, rows, rest, firsts, more, links, after)
     return keys.select("id", "k1", "k2"), classes
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id_col, class_id (smallest id of the class), copies (rows of this very word sequence), n_links (verified links of this text), for each row of docs."""
+    """id_col, class_id (smallest id of the class), copies (rows of this very word sequence), for each row of docs."""
     keys, classes = _classes(docs, id_col, text_col, threshold)
-    return keys.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "copies", "n_links")
+    return keys.join(classes, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "copies")
 
 
 def op8(spark, docs: DataFrame) -> DataFrame:

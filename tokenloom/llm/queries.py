@@ -7,9 +7,9 @@ import os
 from tokenloom.llm import chat, decontamination, gif_media, lm_scoring, mixing, near_dedup, repeated_passages, token_counts, token_output, toxicity
 
 
-def tokenizer_file(name: str) -> str:
-    """Where a public vocabulary file lies: TOKENLOOM_TOKENIZERS, or else the installed package of them."""
-    if folder := os.environ.get("TOKENLOOM_TOKENIZERS"):
+def vocabulary_file(name: str) -> str:
+    """Where a public vocabulary file lies: TOKENLOOM_VOCABULARIES, or else the installed package of them."""
+    if folder := os.environ.get("TOKENLOOM_VOCABULARIES"):
         return os.path.join(folder, name)
     import public_tokenizers
 
@@ -21,7 +21,7 @@ def _read(spark, sf_dir: str, table: str):
 
 
 def op1_token_output(spark, sf_dir):
-    return token_output.op1(spark, _read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_output.op1(spark, _read(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
 def op2_repeated_passages(spark, sf_dir):
@@ -45,7 +45,7 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir):
-    return token_counts.op7(spark, _read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.op7(spark, _read(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
 def op8_near_dedup(spark, sf_dir):
