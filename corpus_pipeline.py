@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tokenloom.llm import decontamination, mixing, near_dedup, queries, token_output, toxicity
-from tokenloom.llm._text import written
+from tokenloom.sources.tables import written
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in shard files, in ascending doc_id order; the digests read back from them."""
-    return token_output.op1(spark, docs, queries.tokenizer_file("byte_bpe_50k.json"))
+    return token_output.op1(spark, docs, queries.vocabulary_file("byte_bpe_50k.json"))
 
 
 STAGES = [
