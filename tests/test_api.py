@@ -12,7 +12,7 @@ from tokenloom.functions import text as T
 from tokenloom.operators import vocab
 from tokenloom.operators.annotate import read_line, write_line
 from tokenloom.operators.bpe import read_vocabulary
-from tokenloom.operators.learn import learn_merges, pair_counts
+from tokenloom.operators.learn import learn_merges, learn_merges_of, pair_counts
 from tokenloom.sources import text_files
 from tokenloom.streaming import lines
 
@@ -55,7 +55,7 @@ def test_bpe_learner(tmp_path):
     assert (tmp_path / "n").read_text() == "#version: 0.2\na b</w>\nc d</w>\n"
     learner = tl.BPELearner(t, symbols=2, min_frequency=1)
     learner.ingest("a b")
-    with pytest.raises(RuntimeError, match="pairs"):
+    with pytest.raises(RuntimeError, match="beside each other"):
         learner.learn(str(tmp_path / "o"))
     assert learn_merges({"aaaa": 3, "aab": 2}, 3, 1)[0] == ("a", "a")
 
@@ -98,7 +98,7 @@ def test_sentencepiece_learns_from_all_texts(tmp_path, spark):
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     learner = tl.SentencePieceLearner(vocab_size=120, character_coverage=1.0, model_type="unigram", hard_vocab_limit=False).ingest_dataframe(table, "text")
     words = Counter(w for t in texts for w in (t or "").split())
-    assert learner.counts == words
+    assert {r["word"]: r["n"] for r in learner.word_counts().collect()} == words
     t = learner.learn(str(tmp_path / "all.model"))
     pieces = {t.encoder.processor().IdToPiece(k) for k in range(t.encoder.processor().GetPieceSize())}
     assert {"Ω", "Ж"} <= pieces and all(chr(97 + k) in "".join(pieces) for k in range(24))
@@ -180,7 +180,7 @@ def test_files_and_lines(spark, tmp_path):
     assert [tuple(r) for r in text_files.bpe_model(spark, str(tmp_path / "m")).orderBy("rank").collect()] == [(0, "a", "b"), (1, "ab", "c")]
 
 
-def test_command_line(tmp_path):
+def test_command_line(tmp_path, spark, capsys):
     class Out(list):
         write = list.append
 
@@ -188,6 +188,16 @@ def test_command_line(tmp_path):
     cli.main(["tokenize", "--mode", "aggressive", "--joiner_annotate"], ["Hello world!\n"], out)
     cli.main(["detokenize"], out, back)
     assert out == ["Hello world ￭!\n"] and back == ["Hello world!\n"]
+    many, made = [f"line {k}, so!\n" for k in range(25_000)], Out()
+    cli.main(["tokenize", "--mode", "aggressive", "--joiner_annotate", "--num_threads", "3", "-v"], many, made)
+    assert made == [f"line {k} ￭, so ￭!\n" for k in range(25_000)] and capsys.readouterr().err.splitlines()[-1] == "25000 lines"
+    (tmp_path / "lines").write_text("".join(many), encoding="utf-8")
+    cli.main(["tokenize", "--mode", "aggressive", "--joiner_annotate", "--files", str(tmp_path / "lines"), str(tmp_path / "tokens")])
+    assert "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "tokens").glob("part-*"))) == "".join(made)
+    cli.main(["detokenize", "--files", str(tmp_path / "tokens"), str(tmp_path / "texts")])
+    assert "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "texts").glob("part-*"))) == "".join(many)
+    cli.main(["subword_learn", "-i", str(tmp_path / "lines"), "-o", str(tmp_path / "sp"), "--tmpfile", str(tmp_path / "spool"), "sentencepiece", "--option", "vocab_size=30", "--option", "hard_vocab_limit=false"])
+    assert (tmp_path / "sp").exists() and not (tmp_path / "spool").exists()
     (tmp_path / "in").write_text("hello world")
     assert cli.main(["subword_learn", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "m"), "bpe", "-s", "2", "--min-frequency", "1"]) == 0
     assert (tmp_path / "m").read_text().startswith("#version: 0.2\n")
@@ -223,6 +233,31 @@ def test_pairs(spark):
     assert {tuple(r) for r in pair_counts(words).collect()} == {("a", "b</w>", 2), ("a", "b", 1), ("b", "b</w>", 1)}
 
 
+def test_merges_of_tables_are_those_of_the_driver(spark):
+    counts = {"aaaa": 3, "aab": 2, "banana": 4, "bandana": 4, "n": 9, "％0020a": 2, "eé": 2, "": 1}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    for more in ({}, {"total_symbols": True}, {"min_frequency": 5}):
+        limits = {"symbols": 19, "min_frequency": 2} | more
+        held = {w: n for w, n in counts.items() if w}
+        assert learn_merges_of(words.filter("word <> ''"), **limits, driver_words=0) == learn_merges_of(words.filter("word <> ''"), **limits) == learn_merges(held, **limits)
+    with pytest.raises(RuntimeError):
+        learn_merges_of(words.filter("word = 'n'"), driver_words=0)
+
+
+def test_pieces_by_words_are_those_of_texts(spark):
+    texts = ["banana bandana, banana-ana! ban", "｟ph｠banana ￭ ▁ na nab", "", None, "nana  x"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(2)
+    model = ["#version: 0.2", "n a", "b a", "na na</w>", "a n", "ba na"]
+    for mode in ("aggressive", "conservative", "space", "char"):
+        for more in ({}, {"joiner_annotate": True}, {"spacer_annotate": True}):
+            for vocabulary in (None, ["ba￭", "na", "￭na", "▁ba", "x"]):
+                if mode == "space" and more:
+                    continue
+                t = tl.Loom(mode, encoder=tl.BPE(model), vocabulary=vocabulary, **more)
+                got = {r["k"]: (r["x"], r["l"]) for r in df.select("k", t.column("t").alias("x"), t.line_column("t").alias("l")).collect()}
+                assert got == {k: (None, None) if x is None else (t(x), " ".join(t(x))) for k, x in enumerate(texts)}, (mode, more, vocabulary)
+
+
 def test_dropout_repeats(spark):
     t = tl.Loom("space", encoder=tl.BPE(["#version: 0.2", "a b", "ab c", "abc d</w>"], dropout=0.5))
     df = spark.createDataFrame([(k, "abcd abcd abcd") for k in range(20)], "k int, t string").repartition(4)

@@ -5,6 +5,7 @@ import pytest
 from goldens import CASES, DETOK
 from pyspark.sql import functions as F
 
+from tokenloom.functions.chars import simple_lower, simple_upper
 from tokenloom.operators import native
 from tokenloom.operators.annotate import write_line
 from tokenloom.operators.loom import Loom
@@ -49,21 +50,22 @@ def test_alphabets():
 NATIVE = [
     {"mode": m} | more
     for m in ("conservative", "aggressive", "char")
-    for more in ({}, {"joiner_annotate": True}, {"joiner_annotate": True, "joiner_new": True}, {"spacer_annotate": True}, {"spacer_annotate": True, "spacer_new": True}, {"with_separators": True}, {"no_substitution": True}, {"joiner_annotate": True, "preserve_placeholders": True}, {"joiner_annotate": True, "segment_numbers": True, "preserve_segmented_tokens": True})
+    for more in ({}, {"joiner_annotate": True}, {"joiner_annotate": True, "joiner_new": True}, {"spacer_annotate": True}, {"spacer_annotate": True, "spacer_new": True}, {"with_separators": True}, {"no_substitution": True}, {"joiner_annotate": True, "preserve_placeholders": True}, {"case_feature": True}, {"case_feature": True, "joiner_annotate": True, "joiner_new": True}, {"joiner_annotate": True, "segment_numbers": True, "preserve_segmented_tokens": True})
 ] + [{"mode": "space"}, {"mode": "none"}, {"mode": "none", "no_substitution": True}]
 
 
 def test_native_equals_machine(spark):
     rng = random.Random(4)
-    atoms = ["a", "B", "é", "1", "23", ".", ",", "-", "_", " ", "  ", "\n", "\t", "　", "́", "｟", "｠", "￭", "▁", "％", "：", "字", "’", "‍", "﻿", "x.y", "3,4", "$", "א", "़"]
+    atoms = ["a", "B", "é", "1", "23", ".", ",", "-", "_", " ", "  ", "\n", "\t", "　", "́", "｟", "｠", "￭", "▁", "％", "：", "字", "’", "‍", "﻿", "x.y", "3,4", "$", "א", "़", "Σ", "İ", "ǅ", "Ⓐ", "Ⅷ", "ß"]
     texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(0, 14))) for _ in range(400)] + [c[1] for c in CASES]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").repartition(4).cache()
     for options in NATIVE:
         o = Options(**options)
         assert native.covers(o), options
         t = Loom(o)
-        got = {r["i"]: r["x"] for r in df.select("i", t.column("t").alias("x")).collect()}
-        assert got[-1] is None
+        rows = df.select("i", t.column("t").alias("x"), t.line_column("t").alias("l")).collect()
+        got = {r["i"]: r["x"] for r in rows}
+        assert got[-1] is None and all(r["l"] == write_line(*t.tokenize(texts[r["i"]])) for r in rows if r["i"] >= 0), options
         bad = [(texts[i], got[i], t(texts[i])) for i in range(len(texts)) if got[i] != t(texts[i])]
         assert not bad, (options, len(bad), bad[:3])
 
@@ -79,13 +81,34 @@ def test_native_way_back(spark):
             assert {x["token"]: (x["start"], x["end"]) for x in r["r"]} == t.detokenize_with_ranges(r["k"])[1]
 
 
+def test_native_way_back_from_any_tokens(spark):
+    rng = random.Random(5)
+    atoms = ["a", "é", "字", "￭", "￭", "▁", "▁", " ", "@@", "x.", "\ufdd1", "\n"]
+    lists = [["".join(rng.choice(atoms) for _ in range(rng.randrange(0, 4))) for _ in range(rng.randrange(0, 7))] for _ in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lists)] + [(-1, None)], "k int, t array<string>").repartition(4).cache()
+    for more in ({"joiner_annotate": True}, {"spacer_annotate": True}, {"joiner_annotate": True, "joiner": "@@"}, {"with_separators": True}):
+        t = Loom("aggressive", no_substitution=True, **more)
+        rows = {r["k"]: r for r in df.select("k", native.detokenize(F.col("t"), t.options).alias("n"), native.ranges(F.col("t"), t.options).alias("r"), native.ranges(F.col("t"), t.options, unicode=True).alias("u")).collect()}
+        assert rows[-1]["n"] is None and rows[-1]["r"] is None
+        for k, tokens in enumerate(lists):
+            assert rows[k]["n"] == t.detokenize(tokens), tokens
+            for got, unicode in ((rows[k]["r"], False), (rows[k]["u"], True)):
+                assert {x["token"]: (x["start"], x["end"]) for x in got} == t.detokenize_with_ranges(tokens, unicode_ranges=unicode)[1], tokens
+
+
 def test_casing_columns(spark):
     from tokenloom.operators.casing import casing_of, restored
     from tokenloom.operators.token import Casing
 
-    words = ["abc", "Abc", "ABC", "aBc", "1", "A", "A1b", "É", "éA", "-a-"]
+    words = ["abc", "Abc", "ABC", "aBc", "1", "A", "A1b", "É", "éA", "-a-", "ΤΕΛΙΚΟΣ", "İstanbul", "straße", "ŉ", "ᾳβ", "ﬁne", "ΐ"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     for r in df.select("w", native.casing(F.col("w")).alias("c")).collect():
         assert r["c"] == casing_of(r["w"]).value
     got = df.select("w", native.restore_casing(F.col("w"), F.lit("C")).alias("c"), native.restore_casing(F.col("w"), F.lit("U")).alias("u")).collect()
     assert all(r["c"] == restored(r["w"], Casing.CAPITALIZED) and r["u"] == restored(r["w"], Casing.UPPERCASE) for r in got)
+    got = df.select("w", native.lowercase(F.col("w")).alias("l")).collect()
+    assert all(r["l"] == "".join(map(simple_lower, r["w"])) for r in got) and {r["w"]: r["l"] for r in got}["ΤΕΛΙΚΟΣ"] == "τελικοσ"
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x20000)) if unicodedata.category(chr(c)) != "Cn"]
+    df = spark.createDataFrame([(c,) for c in every], "c string")
+    bad = [r for r in df.select("c", native.lowercase(F.col("c")).alias("l"), native.uppercase(F.col("c")).alias("u")).collect() if (r["l"], r["u"]) != (simple_lower(r["c"]), simple_upper(r["c"]))]
+    assert len(bad) < 60, bad  # letters that one of the two has from a later version of Unicode

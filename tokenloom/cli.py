@@ -1,4 +1,4 @@
-"""Command line: tokenize and detokenize standard input line by line, learn subword models from files."""
+"""Command line: tokenize and detokenize standard input line by line, or whole text files with Spark, and learn subword models from files."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import sys
 
 from tokenloom.operators.annotate import read_line, write_line
 from tokenloom.operators.learn import BPELearner, SentencePieceLearner
-from tokenloom.operators.loom import Loom, set_random_seed
+from tokenloom.operators.loom import Loom, set_random_seed, write_lines
 from tokenloom.options import Options
+from tokenloom.sources.text_files import detokenize_text_files, tokenize_text_files
 
 
 def _tokenization(p: argparse.ArgumentParser, prefix: str = "") -> None:
@@ -43,12 +44,16 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--sp_alpha", type=float, default=0.1)
     t.add_argument("--vocabulary", default="")
     t.add_argument("--vocabulary_threshold", type=int, default=0)
+    t.add_argument("--num_threads", type=int, default=1)
+    t.add_argument("-v", "--verbose", action="store_true")
     d = commands.add_parser("detokenize")
     d.add_argument("--lang", default="")
     d.add_argument("--joiner", default=Options.joiner)
     for name in ("spacer_annotate", "case_feature", "with_separators"):
         d.add_argument(f"--{name}", action="store_true")
     d.add_argument("--tokens_delimiter", default=" ")
+    for p in (t, d):
+        p.add_argument("--files", nargs=2, metavar=("INPUT", "OUTPUT"), help="text files to read and a folder to write, with Spark, in the order of the lines")
     s = commands.add_parser("subword_learn")
     s.add_argument("-i", "--input", action="append", default=[])
     s.add_argument("-o", "--output", required=True)
@@ -58,10 +63,18 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--min-frequency", type=int, default=2)
     s.add_argument("--dict-input", action="store_true")
     s.add_argument("-t", "--total-symbols", action="store_true")
+    s.add_argument("-v", "--verbose", action="store_true")
+    s.add_argument("--tmpfile", default="", help="where lines for the sentencepiece trainer are kept while it runs; deleted afterwards")
     s.add_argument("--option", action="append", default=[], help="key=value for the sentencepiece trainer")
     return top
 
 
+def _spark():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.getOrCreate()
+
+
 def main(argv: list[str] | None = None, read=sys.stdin, write=sys.stdout) -> int:
     args = parser().parse_args(argv)
     if args.command == "tokenize":
@@ -69,12 +82,16 @@ def main(argv: list[str] | None = None, read=sys.stdin, write=sys.stdout) -> int
             set_random_seed(args.seed)
         sp = "" if args.bpe_model else args.sp_model  # a BPE model comes first here
         t = Loom(_options(args), bpe_model_path=args.bpe_model, bpe_dropout=args.bpe_dropout, bpe_vocab_path=args.bpe_vocab, bpe_vocab_threshold=args.bpe_vocab_threshold, sp_model_path=sp, sp_nbest_size=args.sp_nbest_size, sp_alpha=args.sp_alpha, vocabulary_path=args.vocabulary, vocabulary_threshold=args.vocabulary_threshold)
-        for line in read:
-            write.write(write_line(*t.tokenize(line.rstrip("\n")), args.tokens_delimiter) + "\n")
+        if args.files:
+            tokenize_text_files(_spark(), *args.files, t, delimiter=args.tokens_delimiter, ordered=True)
+        else:
+            write_lines(read, write, lambda line: write_line(*t.tokenize(line), args.tokens_delimiter), args.num_threads, args.verbose)
     elif args.command == "detokenize":
         t = Loom(_options(args))
-        for line in read:
-            write.write(t.detokenize(*read_line(line.rstrip("\n"), args.tokens_delimiter)) + "\n")
+        if args.files:
+            detokenize_text_files(_spark(), *args.files, t, delimiter=args.tokens_delimiter, ordered=True)
+        else:
+            write_lines(read, write, lambda line: t.detokenize(*read_line(line, args.tokens_delimiter)))
     else:
         default = args.mode == "conservative" and not args.joiner_annotate and not args.spacer_annotate
         t = None if default else Loom(_options(args))
@@ -87,5 +104,7 @@ def main(argv: list[str] | None = None, read=sys.stdin, write=sys.stdout) -> int
         if not args.input:
             for line in read:
                 learner.ingest(line.rstrip("\n"))
-        learner.learn(args.output)
+        if args.tmpfile and args.kind == "sentencepiece":
+            learner.input_path = args.tmpfile
+        learner.learn(args.output, args.verbose)
     return 0

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,9 +23,10 @@ from tokenloom.operators.segmenter import segment
 from tokenloom.operators.spm import SentencePiece
 from tokenloom.operators.subword import SubwordEncoder
 from tokenloom.operators.token import TOKEN_SCHEMA, Token
-from tokenloom.options import Options
+from tokenloom.options import JOINER, SPACER, Options
 
 _seed = random.Random()
+PROGRESS = 10_000  # lines of a local file that are held, and between two lines of progress
 
 
 def set_random_seed(seed: int) -> None:
@@ -29,6 +34,19 @@ def set_random_seed(seed: int) -> None:
     _seed.seed(seed)
 
 
+def write_lines(read: Iterable[str], write, f, threads: int = 1, verbose: bool = False) -> None:
+    """f of every line, in order. Some thousand lines are held at once, whatever the number of threads. Verbose: lines done, on the error stream."""
+    lines = (line.removesuffix("\n") for line in read)
+    done = 0
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        while part := list(islice(lines, PROGRESS)):
+            for x in pool.map(f, part) if threads > 1 else map(f, part):
+                write.write(x + "\n")
+            done += len(part)
+            if verbose:
+                print(f"{done} lines", file=sys.stderr)
+
+
 class Loom:
     """Made from a mode and options, from Options, or from another loom; with at most one subword encoder."""
 
@@ -110,26 +128,25 @@ class Loom:
         return dict(found)
 
     def tokenize_file(self, input_path: str, output_path: str, num_threads: int = 1, verbose: bool = False, training: bool = True, tokens_delimiter: str = " ") -> None:
-        """A local file, line by line. For files of any size see sources.text_files."""
-        self._file(input_path, output_path, lambda line: annotate.write_line(*self.tokenize(line, training=training), tokens_delimiter))
+        """A local file, line by line, in order. For files of any size see sources.text_files."""
+        self._file(input_path, output_path, lambda line: annotate.write_line(*self.tokenize(line, training=training), tokens_delimiter), num_threads, verbose)
 
     def detokenize_file(self, input_path: str, output_path: str, tokens_delimiter: str = " ") -> None:
         self._file(input_path, output_path, lambda line: self.detokenize(*annotate.read_line(line, tokens_delimiter)))
 
     @staticmethod
-    def _file(input_path: str, output_path: str, f) -> None:
+    def _file(input_path: str, output_path: str, f, threads: int = 1, verbose: bool = False) -> None:
         try:
             read = open(input_path, encoding="utf-8", newline="\n")
         except OSError as e:
-            raise ValueError(f"Failed to open input file {input_path}") from e
+            raise ValueError(f"{input_path} can't be read") from e
         with read:
             try:
                 write = open(output_path, "w", encoding="utf-8", newline="\n")
             except OSError as e:
-                raise ValueError(f"Failed to open output file {output_path}") from e
+                raise ValueError(f"{output_path} can't be written") from e
             with write:
-                for line in read:
-                    write.write(f(line.removesuffix("\n")) + "\n")
+                write_lines(read, write, f, threads, verbose)
 
     # columns
 
@@ -138,13 +155,53 @@ class Loom:
         """Whether columns of this loom are Catalyst expressions alone."""
         return self.encoder is None and native.covers(self.options)
 
+    def _draws(self, training: bool) -> bool:
+        return bool(training and (getattr(self.encoder, "dropout", 0) or getattr(self.encoder, "nbest_size", 0)))
+
+    def _by_words(self, training: bool) -> bool:
+        """Whether the pieces of a native token follow from its string alone, so that each different one is encoded once."""
+        o = self.options
+        plain = o.joiner == JOINER and not (o.joiner_new or o.spacer_new or o.no_substitution or o.with_separators or o.preserve_placeholders or o.preserve_segmented_tokens or o.case_feature)
+        return isinstance(self.encoder, BPE) and native.covers(o) and plain and not self._draws(training) and not (o.spacer_annotate and self.encoder.vocabulary)
+
+    def _pieces(self, word: str) -> list[str]:
+        """Strings of the subwords of one token string."""
+        if is_placeholder(word):
+            return [word]
+        o = self.options
+        if not (o.joiner_annotate or o.spacer_annotate):
+            return [t.surface for t in self.encoder.encode_token(Token(word), False)]
+        if o.spacer_annotate:
+            apart = word.startswith(SPACER)
+            pieces = [t.surface for t in self.encoder.encode_token(Token(word[apart:]), False)]
+            return [SPACER * apart + pieces[0], *pieces[1:]] if pieces else [word]
+        left, right = word.startswith(JOINER), word.endswith(JOINER)
+        pieces = self.encoder.encode_token(Token(word[left : len(word) - right], join_left=left, join_right=right), False)
+        return [JOINER * t.join_left + t.surface + JOINER * t.join_right for t in pieces]
+
+    def _word_pieces(self, lists: pa.Array) -> pa.Array:
+        """Token strings of a batch, each different one cut into pieces once."""
+        words = lists.flatten().dictionary_encode()
+        made = [self._pieces(w) for w in words.dictionary.to_pylist()]
+        sizes = np.array([len(m) for m in made], np.int64)
+        first = np.cumsum(sizes) - sizes
+        own = words.indices.to_numpy(zero_copy_only=False)
+        at = np.append(0, np.cumsum(sizes[own]))
+        flat = pa.array([p for m in made for p in m], pa.string()).take(pa.array(np.arange(at[-1]) + np.repeat(first[own] - at[:-1], sizes[own])))
+        edges = at[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)]
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), flat, mask=lists.is_null() if lists.null_count else None)
+
     def column(self, text: Column | str, *, training: bool = True, seed: int | None = None, key: Column | str | None = None, tier: str = "auto") -> Column:
         """array<string> of tokens; null for null. With dropout and a seed, a row draws by (seed, key), so give a key that names it."""
         text = F.col(text) if isinstance(text, str) else text
         if tier == "native" or (tier == "auto" and self.is_native):
             return native.tokens(text, self.options)
+        if tier == "auto" and self._by_words(training):
+            return F.arrow_udf(self._word_pieces, "array<string>")(native.tokens(text, self.options))
 
         def rows(texts, keys):
+            if not self._draws(training):
+                return [None if x is None else self(x, training) for x in texts]
             rngs = (random.Random(f"{seed}:{k}") for k in keys)
             return [None if x is None else annotate.serialize(self.tokens(x, training, rng=r), self.options)[0] for x, r in zip(texts, rngs, strict=True)]
 
@@ -165,6 +222,8 @@ class Loom:
         text = F.col(text) if isinstance(text, str) else text
         if self.is_native:
             return native.line(text, self.options, delimiter)
+        if self._by_words(training):
+            return F.array_join(self.column(text, training=training), delimiter)
 
         def rows(texts, _keys):
             return [None if x is None else annotate.write_line(*self.tokenize(x, training=training), delimiter) for x in texts]

@@ -1,20 +1,27 @@
 """The native tier: segmentation, annotation, case features and detokenization as Catalyst expressions (no Python on the executors).
 
-Text becomes an array of (gap, unit) matches of one regular expression; a unit's kind is told by its first character, and whether it is glued to the one before by its gap.
-Join marks then need the neighbours in the array alone: no shuffle, no row explosion.
+Units of a text are found by one regular expression. Their join marks depend on the characters about each boundary alone, so boundaries become marks in the text, a few replacements tell them apart,
+and one split makes the tokens. Texts with placeholders, with marks upon separators, or with the marks themselves take a longer way: an array of (gap, unit) matches, in which each looks at
+its neighbours. Neither way shuffles or multiplies rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tokenloom.options import CLOSE, OPEN, SPACER, SUBSTITUTES, Options
+from tokenloom.functions.chars import simple_upper
+from tokenloom.options import CLOSE, FEATURE, OPEN, SPACER, SUBSTITUTES, Options
 
 CONTROL = "\\x01-\\x1f\\uFEFF"
+#: marks of boundaries: not told apart yet; a separator stood there; the right token joins the left one; the left one joins the right one. Noncharacters, which no text should hold
+BOUND, APART, LEFT, RIGHT = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+ODD = f"{OPEN}|\\p{{Z}}\\p{{M}}|[{BOUND}-{RIGHT}]"
 WORD = "[\\p{L}\\p{N}_]\\p{M}*"
 
 
@@ -23,9 +30,7 @@ def covers(o: Options) -> bool:
     never = o.case_markup or o.segment_case or o.segment_alphabet or o.segment_alphabet_change or o.allow_isolated_marks or o.support_prior_joiners or o.lang
     if o.mode in ("space", "none"):
         never = never or o.joiner_annotate or o.spacer_annotate or o.case_feature
-    if o.mode == "space":
-        never = True if o.case_feature else never
-    return not never and not o.case_feature
+    return not never
 
 
 def _unit(o: Options) -> str:
@@ -149,6 +154,27 @@ def strings(marked: Column, o: Options) -> Column:
 CONTROLS = "".join(map(chr, range(1, 32))) + "\ufeff"
 
 
+def _bounded(text: Column, o: Options) -> Column:
+    """array<string>: the tokens of a text without ODD, with their joiners or spacers."""
+    t = F.regexp_replace(text, f"(?>{_unit(o)})", f"$0{BOUND}")
+    t = F.regexp_replace(F.translate(t, CONTROLS, ""), "^\\p{Z}+", "")
+    t = F.regexp_replace(t, f"{BOUND}(?:\\p{{Z}}+|\\z)", APART)
+    if o.mode == "aggressive":
+        t = F.regexp_replace(t, f"(\\p{{L}}\\p{{M}}*){BOUND}(?=\\p{{N}})", f"$1{LEFT}")
+        t = F.regexp_replace(t, f"{BOUND}(?=[\\p{{L}}\\p{{N}}])", RIGHT)
+    elif o.mode == "conservative":
+        t = F.regexp_replace(t, f"{BOUND}(?=[\\p{{L}}\\p{{N}}_])", RIGHT)
+    source, target = ("", "") if o.no_substitution else ("".join(SUBSTITUTES), "".join(SUBSTITUTES.values()))
+    t = F.translate(t, source + BOUND, target + LEFT)
+    if o.joiner_annotate:
+        t = F.replace(t, F.lit(LEFT), F.lit(APART + o.joiner + APART * o.joiner_new))
+        t = F.replace(t, F.lit(RIGHT), F.lit(APART * o.joiner_new + o.joiner + APART))
+    else:
+        t = F.translate(F.replace(t, F.lit(APART), F.lit(APART + SPACER + APART * o.spacer_new)), LEFT + RIGHT, APART + APART)
+        t = F.regexp_replace(t, f"{APART}{SPACER}{APART * o.spacer_new}\\z", "")  # nothing follows the last boundary
+    return F.filter(F.split(t, APART), lambda x: x != "")
+
+
 def _plain(text: Column, o: Options) -> Column:
     """Tokens without marks between them: units alone, each cleaned by one translation."""
     unit = f"\\p{{Z}}+(?!\\p{{M}})|{_unit(o)}" if o.with_separators else _unit(o)
@@ -162,6 +188,12 @@ def _plain(text: Column, o: Options) -> Column:
 
 
 def tokens(text: Column, o: Options) -> Column:
+    """array<string>; in lower case with case_feature, whose values line() adds."""
+    made = _tokens(text, o)
+    return F.transform(case_features(made), lambda x: x["token"]) if o.case_feature else made
+
+
+def _tokens(text: Column, o: Options) -> Column:
     if o.mode == "none":
         pieces = F.regexp_extract_all(_first(text), F.lit(f"(?s){OPEN}.*?(?:{CLOSE}|\\z)|[^{OPEN}]+"), F.lit(0))
         return F.transform(pieces, lambda p: F.when(p.startswith(OPEN), _escaped(p, o)).otherwise(_substituted(p, o)))
@@ -171,10 +203,15 @@ def tokens(text: Column, o: Options) -> Column:
         return F.filter(plain, lambda p: p != "")
     if not (o.joiner_annotate or o.spacer_annotate):
         return _plain(text, o)
-    return strings(annotated(lexemes(text, o), o), o)
+    marked = strings(annotated(lexemes(text, o), o), o)
+    if o.with_separators or o.preserve_segmented_tokens:
+        return marked
+    return F.when(text.rlike(ODD), marked).otherwise(_bounded(_first(text), o))
 
 
 def line(text: Column, o: Options, delimiter: str = " ") -> Column:
+    if o.case_feature:
+        return F.array_join(F.transform(case_features(_tokens(text, o)), lambda x: F.concat(x["token"], F.lit(FEATURE), x["casing"])), delimiter)
     return F.array_join(tokens(text, o), delimiter)
 
 
@@ -189,22 +226,40 @@ def casing(token: Column) -> Column:
     )
 
 
+#: characters whose full upper case is several characters, with the one character of their simple mapping
+LONGER = {c: simple_upper(c) for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if len(c.upper()) > 1}
+
+
 def lowercase(token: Column, lang: str = "") -> Column:
-    """Lower case; with a language, by its collation's rules."""
-    return F.collate(F.lower(F.collate(token, lang)), "UTF8_BINARY") if lang else F.lower(token)
+    """Lower case, character by character: no final sigma, and one character for a dotted capital I. With a language, by its collation's rules."""
+    return F.collate(F.lower(F.collate(token, lang)), "UTF8_BINARY") if lang else F.lower(F.translate(token, "Σİ", "σi"))
+
+
+def uppercase(token: Column, lang: str = "") -> Column:
+    """Upper case, character by character: what would become several characters takes its simple mapping, or stays."""
+    if lang:
+        return F.collate(F.upper(F.collate(token, lang)), "UTF8_BINARY")
+    table = F.create_map(*(F.lit(x) for pair in LONGER.items() for x in pair))
+    each = F.transform(F.split(token, ""), lambda c: F.coalesce(F.element_at(table, c), F.upper(c)))
+    return F.when(token.rlike(f"[{''.join(LONGER)}]"), F.array_join(each, "")).otherwise(F.upper(token))
 
 
 def restore_casing(token: Column, code: Column, lang: str = "") -> Column:
     """A token by its casing code; mixed casing raises."""
-    up = (lambda c: F.collate(F.upper(F.collate(c, lang)), "UTF8_BINARY")) if lang else F.upper
-    head = F.when(F.lower(F.substring(token, 1, 2)) == "ij", F.concat(F.lit("IJ"), F.substring(token, F.lit(3), F.char_length(token)))) if lang == "nl" else F.when(F.lit(False), F.lit(""))
-    title = F.coalesce(head, F.concat(up(F.substring(token, 1, 1)), F.substring(token, F.lit(2), F.char_length(token))))
-    return F.when(code == "C", title).when(code == "U", up(token)).when(code == "M", F.raise_error(F.lit("Can't restore mixed casing")).cast("string")).otherwise(token)
+    head = F.when(lowercase(F.substring(token, 1, 2)) == "ij", F.concat(F.lit("IJ"), F.substring(token, F.lit(3), F.char_length(token)))) if lang == "nl" else F.when(F.lit(False), F.lit(""))
+    title = F.coalesce(head, F.concat(uppercase(F.substring(token, 1, 1), lang), F.substring(token, F.lit(2), F.char_length(token))))
+    return F.when(code == "C", title).when(code == "U", uppercase(token, lang)).when(code == "M", F.raise_error(F.lit("a token of mixed casing has lost its capitals")).cast("string")).otherwise(token)
 
 
 def case_features(toks: Column) -> Column:
     """array<struct<token, casing>>: lower-case tokens and the casing they had; placeholders stay."""
-    return F.transform(toks, lambda t: F.when(t.rlike(f"(?s){OPEN}.+?{CLOSE}"), F.struct(t.alias("token"), F.lit("N").alias("casing"))).otherwise(F.struct(F.lower(t).alias("token"), casing(t).alias("casing"))))
+    return F.transform(toks, lambda t: F.when(t.rlike(f"(?s){OPEN}.+?{CLOSE}"), F.struct(t.alias("token"), F.lit("N").alias("casing"))).otherwise(F.struct(_lower_letters(t).alias("token"), casing(t).alias("casing"))))
+
+
+def _lower_letters(token: Column) -> Column:
+    """Lower case of capital letters alone: title-case letters, numbers and signs with case stay."""
+    each = F.transform(F.split(token, ""), lambda c: F.when(c.rlike("\\p{Lu}"), lowercase(c)).otherwise(c))
+    return F.when(token.rlike("[\\p{Lt}\\p{Nl}\\p{So}]"), F.array_join(each, "")).otherwise(lowercase(token))
 
 
 # the way back
@@ -242,7 +297,18 @@ def spaced(marked: Column, o: Options) -> Column:
 
 def detokenize(toks: Column, o: Options) -> Column:
     """Text of tokens without case markup and escapes."""
-    return F.array_join(F.transform(spaced(join_flags(toks, o), o), lambda x: F.concat(F.repeat(F.lit(" "), x["lead"]), x["text"])), "")
+    marked = F.array_join(F.transform(spaced(join_flags(toks, o), o), lambda x: F.concat(F.repeat(F.lit(" "), x["lead"]), x["text"])), "")
+    if o.with_separators:
+        return marked
+    # the tokens in one text, with marks between them: joins are where a joiner (or no spacer) stands at a mark
+    t = F.array_join(F.filter(toks, lambda x: x != ""), APART)
+    if o.spacer_annotate:
+        plain = F.replace(F.replace(F.regexp_replace(t, f"^{SPACER}", ""), F.lit(APART + SPACER), F.lit(" ")), F.lit(APART), F.lit(""))
+    else:
+        j = re.escape(o.joiner)
+        t = F.regexp_replace(t, f"(?<={j}){APART}|{APART}(?={j})", BOUND)
+        plain = F.translate(F.regexp_replace(t, f"(?<=^|[{APART}{BOUND}]){j}|{j}(?=[{APART}{BOUND}]|\\z)", ""), APART + BOUND, " ")
+    return F.when(F.exists(toks, lambda x: x.rlike(f"[{BOUND}{APART}]")), marked).otherwise(plain)
 
 
 def ranges(toks: Column, o: Options, *, unicode: bool = False) -> Column:
@@ -250,22 +316,34 @@ def ranges(toks: Column, o: Options, *, unicode: bool = False) -> Column:
 
     Running sums over arrays of any length: whole Arrow batches at once (a fold in SQL would copy its growing array for every token).
     """
-    return F.arrow_udf(_running_ranges(unicode), "array<struct<token: int, start: bigint, end: bigint>>")(spaced(join_flags(toks, o), o))
+    return F.arrow_udf(_running_ranges(o, unicode), "array<struct<token: int, start: bigint, end: bigint>>")(toks)
+
 
+def _running_ranges(o: Options, unicode: bool):
+    def sizes(texts: pa.Array) -> np.ndarray:
+        return (pc.utf8_length(texts) if unicode else pc.binary_length(texts)).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _running_ranges(unicode: bool):
     def sums(rows: pa.Array) -> pa.Array:
         flat, edges = rows.flatten(), np.append(0, np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
-        texts = flat.field("text")
-        size = (pc.utf8_length(texts) if unicode else pc.binary_length(texts)).to_numpy(zero_copy_only=False).astype(np.int64)
-        lead = flat.field("lead").to_numpy(zero_copy_only=False).astype(np.int64)
+        full = sizes(flat)
+        held = full > 0  # empty tokens are left out, and join nothing
+        mark = SPACER if o.spacer_annotate else o.joiner
+        wide = len(mark) if unicode else len(mark.encode())
+        left = pc.starts_with(flat, mark).to_numpy(zero_copy_only=False)
+        right = np.zeros(len(flat), bool) if o.spacer_annotate else pc.ends_with(flat, mark).to_numpy(zero_copy_only=False)
+        size = np.maximum(full - wide * (left.astype(np.int64) + right), 0)  # one mark may be both
+        joined = ~left if o.spacer_annotate else left
+        place = (np.arange(len(flat)) - np.repeat(edges[:-1], np.diff(edges)))[held]
+        kept = np.append(0, np.cumsum(held))[edges]
+        size, joined, right = size[held], joined[held], right[held]
+        first = np.zeros(len(size) + 1, bool)
+        first[kept[:-1]] = True
+        lead = np.zeros(len(size), np.int64)
+        lead[1:] = ~joined[1:] & ~right[:-1] & ~first[1:-1] & (not o.with_separators)
         end = np.append(0, np.cumsum(size + lead))
-        base = np.repeat(end[edges[:-1]], np.diff(edges))
-        stop = end[1:] - base
+        stop = end[1:] - np.repeat(end[kept[:-1]], np.diff(kept))
         shows = size > 0
-        kept = np.append(0, np.cumsum(shows))[edges]
-        place = flat.field("place").to_numpy(zero_copy_only=False).astype(np.int32)
-        made = pa.StructArray.from_arrays([pa.array(place[shows]), pa.array((stop - size)[shows]), pa.array((stop - 1)[shows])], names=["token", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), made, mask=rows.is_null() if rows.null_count else None)
+        made = pa.StructArray.from_arrays([pa.array(place[shows].astype(np.int32)), pa.array((stop - size)[shows]), pa.array((stop - 1)[shows])], names=["token", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(shows))[kept].astype(np.int32)), made, mask=rows.is_null() if rows.null_count else None)
 
     return sums

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
 from tokenloom.operators import native, vocab
+from tokenloom.operators.annotate import read_line
 from tokenloom.operators.bpe import BPE
-from tokenloom.operators.learn import BPELearner, learn_merges, pair_counts, word_counts
+from tokenloom.operators.learn import BPELearner, learn_merges_of, pair_counts, word_counts
 from tokenloom.operators.loom import Loom
 from tokenloom.options import Options
 from tokenloom.plans import corpus
+from tokenloom.sources import text_files
+from tokenloom.sources.tables import scratch
 
 
 def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -85,8 +89,9 @@ def detok_case_markup(spark, sf_dir):
 def _ranges(unicode):
     def query(spark, sf_dir):
         t = Loom()
-        rows = _docs(spark, sf_dir).select("doc_id", native.ranges(t.column("text"), t.options, unicode=unicode).alias("r")).select("doc_id", F.explode("r").alias("r"))
-        return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("r.start").alias("starts"), F.sum("r.end").alias("ends"), F.max("r.end").alias("last"))
+        rows = _docs(spark, sf_dir).select("doc_id", native.ranges(t.column("text"), t.options, unicode=unicode).alias("r")).filter("size(r) > 0")
+        total = lambda field: F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x[field])
+        return rows.select("doc_id", F.size("r").cast("long").alias("n"), total("start").alias("starts"), total("end").alias("ends"), F.element_at("r", -1)["end"].alias("last"))
 
     return query
 
@@ -160,8 +165,120 @@ def vocab_encode(spark, sf_dir):
 
 
 def vocab_decode(spark, sf_dir):
-    ids = spark.range(0, 1200, 7).withColumnRenamed("id", "index")
-    return vocab.lookup_tokens(ids, "index", _vocabulary(spark, sf_dir, maximum_size=1000)).select("index", "token")
+    """All ids of the whole vocabulary, and as many beyond it as it has special tokens."""
+    table = _vocabulary(spark, sf_dir)
+    ids = table.select("id").union(table.filter("id < 2").selectExpr("-1 - id AS id")).withColumnRenamed("id", "index")
+    return vocab.lookup_tokens(ids, "index", table).select("index", "token")
+
+
+def vocab_lookup(spark, sf_dir):
+    """Ids of all different tokens of conversations."""
+    tokens = _docs(spark, sf_dir, "conversations").select(F.explode(Loom().column("text")).alias("token")).distinct()
+    return vocab.lookup(tokens, "token", _vocabulary(spark, sf_dir, maximum_size=1000))
+
+
+def _held(text: str = "text"):
+    """Texts with a placeholder at the beginning of every sentence but the first."""
+    return F.replace(text, F.lit(". "), F.lit(". ｟p q｠"))
+
+
+def _held_lines(**options):
+    def query(spark, sf_dir):
+        return _docs(spark, sf_dir).select("doc_id", Loom("aggressive", joiner_annotate=True, **options).line_column(_held()).alias("tokens"))
+
+    return query
+
+
+def detok_placeholders(spark, sf_dir):
+    t = Loom("aggressive", joiner_annotate=True)
+    return _docs(spark, sf_dir).select("doc_id", t.column(_held()).alias("t")).select("doc_id", native.detokenize(F.col("t"), t.options).alias("text"))
+
+
+def tok_escapes(spark, sf_dir):
+    """Whole texts as placeholders: their separators are escaped."""
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(Loom("none").column(F.concat(F.lit("｟"), "text", F.lit("｠"))), " ").alias("tokens"))
+
+
+def detok_escapes(spark, sf_dir):
+    """Escapes in tokens that are no placeholders become characters again."""
+    return _docs(spark, sf_dir).select("doc_id", Loom("none").detokenized(F.array(F.replace("text", F.lit(" "), F.lit("％0020")))).alias("text"))
+
+
+def tok_case_feature(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", Loom(case_feature=True).line_column("text").alias("line"))
+
+
+def char_simple_case(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", native.lowercase(F.col("text")).alias("lower"), native.uppercase(F.col("text")).alias("upper"))
+
+
+def distinct_tokens(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("lang", F.explode(Loom().column("text")).alias("token"))
+    return rows.groupBy("lang").agg(F.countDistinct("token").alias("n"))
+
+
+def sql_functions(spark, sf_dir):
+    """Token counts and token rows by the names that SQL has for them."""
+    from tokenloom.functions import sql
+
+    sql.register(spark, Loom("aggressive", joiner_annotate=True), "tokenloom_")
+    _docs(spark, sf_dir).createOrReplaceTempView("tokenloom_documents")
+    return spark.sql("""SELECT doc_id, first(tokenloom_token_count(text)) AS n, sum(CAST(t.join_left AS INT)) AS n_left, sum(CAST(t.join_right AS INT)) AS n_right, max(t.pos) + 1 AS rows
+     FROM tokenloom_documents, LATERAL tokenloom_tokens(text) AS t GROUP BY doc_id""")
+
+
+def io_files(spark, sf_dir):
+    """Lines of text files to files of tokens, those back to files of texts, and these counted."""
+    t = Loom("aggressive", joiner_annotate=True)
+    lines, tokens, texts = scratch(spark, "lines"), scratch(spark, "tokens"), scratch(spark, "texts")
+    _docs(spark, sf_dir).select("text").write.text(lines)
+    text_files.tokenize_text_files(spark, lines, tokens, t, ordered=True)
+    text_files.detokenize_text_files(spark, tokens, texts, t)
+    return text_files.read_lines(spark, texts).groupBy("line").agg(F.count("*").alias("n"))
+
+
+def io_bpe_model(spark, sf_dir):
+    """A model file written and read."""
+    path = scratch(spark, "model")
+    lines = ["#version: 0.2", *map(" ".join, _merges(spark, sf_dir, 60))]
+    spark.createDataFrame([(x,) for x in lines], "line string").coalesce(1).write.text(path)
+    return text_files.bpe_model(spark, path)
+
+
+def io_bpe_dictionary(spark, sf_dir):
+    """Counted words written as a dictionary file and read."""
+    path = scratch(spark, "dictionary")
+    learn_word_counts(spark, sf_dir).select(F.concat_ws(" ", "word", "n")).write.text(path)
+    return text_files.bpe_dictionary(spark, path)
+
+
+def io_vocabulary_restriction(spark, sf_dir):
+    """Counted tokens written as a restriction file, and those of at least 20 read."""
+    path = scratch(spark, "restriction")
+    _vocabulary(spark, sf_dir).filter("id > 1").select(F.concat_ws(" ", "token", F.col("frequency").cast("string"))).write.text(path)
+    return text_files.vocabulary_restriction(spark, path, 20)
+
+
+def bpe_vocabulary(spark, sf_dir):
+    """Pieces outside a vocabulary (what the model makes 200 times at least) are parted again, as far as their merges go."""
+    model = ["#version: 0.2", *(" ".join(m) for m in _merges(spark, sf_dir, 100))]
+    t, docs = Loom("aggressive", joiner_annotate=True, encoder=BPE(model)), _docs(spark, sf_dir)
+    pieces = docs.select(F.explode(t.column("text")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).filter("n >= 200")
+    held = Loom("aggressive", joiner_annotate=True, encoder=BPE(model), vocabulary=[r["piece"] for r in pieces.collect()])  # pieces of 100 merges and of single characters
+    return docs.select("doc_id", held.line_column("text").alias("tokens"))
+
+
+def stream_windows(spark, sf_dir):
+    """Tokens of event types by day, of a stream with a watermark: days that are over."""
+    from tokenloom.streaming.lines import windowed_vocabulary
+
+    schema = _docs(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    out, state = scratch(spark, "stream"), scratch(spark, "stream")
+    table = windowed_vocabulary(source, Loom("aggressive"), time="ts", column="event_type", width="1 day", late="2 days")
+    run = table.select(F.col("window.start").cast("date").alias("day"), "token", "n").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.schema("day date, token string, n long").parquet(out)
 
 
 def vocab_out_of(spark, sf_dir):
@@ -184,7 +301,7 @@ def learn_first_merge(spark, sf_dir):
 
 def _merges(spark, sf_dir, symbols):
     words = word_counts(_docs(spark, sf_dir), "text", Loom("aggressive"))
-    return learn_merges({r["word"]: r["n"] for r in words.toLocalIterator()}, symbols)
+    return learn_merges_of(words, symbols)
 
 
 def learn_bpe(spark, sf_dir):
@@ -232,7 +349,7 @@ def stream_tokens(spark, sf_dir):
 
     schema = _docs(spark, sf_dir).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    out, state = _scratch(spark), _scratch(spark)
+    out, state = scratch(spark, "stream"), scratch(spark, "stream")
     run = tokenize_stream(source.select("doc_id", "text"), Loom(), column="text").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema("doc_id long, text string").parquet(out).withColumnRenamed("text", "tokens")
@@ -243,7 +360,7 @@ def stream_vocabulary(spark, sf_dir):
 
     schema = _docs(spark, sf_dir).schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    out, state = _scratch(spark), _scratch(spark)
+    out, state = scratch(spark, "stream"), scratch(spark, "stream")
     table = running_vocabulary(source.select("text"), Loom(), column="text")
     run = table.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(out)).start()
     run.awaitTermination()
@@ -251,30 +368,24 @@ def stream_vocabulary(spark, sf_dir):
     return rows.groupBy("token").agg(F.max_by("n", "batch").alias("n"))
 
 
-def _scratch(spark) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        spark.conf.set("spark.checkpoint.dir", base := tempfile.mkdtemp(prefix="tokenloom-"))
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def io_line_round_trip(spark, sf_dir):
-    """Token lines read back: tokens that were written, counted again."""
+    """Token lines written and parsed: a delimiter of several characters, and tokens that are counted again."""
     t = Loom("aggressive", joiner_annotate=True)
-    return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(F.split(t.line_column("text", "++"), "\\+\\+"), lambda x: x != "")).cast("long").alias("n"))
+    parsed = F.arrow_udf(lambda lines: pa.array([None if x is None else len(read_line(x, "++")[0]) for x in lines.to_pylist()], pa.int64()), "long")
+    return _docs(spark, sf_dir).select("doc_id", parsed(t.line_column("text", "++")).alias("n"))
 
 
 PLAIN = [
     tok_conversations, tok_pages, tok_lines, token_objects, detok_joiner, detok_spacer, detok_case_markup, ranges_merged, case_feature, case_histogram, case_restore, char_types, char_functions, char_alphabets,
     placeholder_filter, vocab_build, vocab_insertion_order, vocab_minimum_frequency, vocab_encode, vocab_decode, vocab_out_of, learn_word_counts, learn_pair_counts, learn_first_merge, learn_bpe, bpe_encode,
-    bpe_encode_words, bpe_dropout, sp_encode, corpus_rollup, stream_tokens, stream_vocabulary, io_line_round_trip,
+    vocab_lookup, detok_placeholders, tok_escapes, detok_escapes, tok_case_feature, char_simple_case, distinct_tokens, sql_functions, io_files, io_bpe_model, io_bpe_dictionary, io_vocabulary_restriction, bpe_vocabulary,
+    stream_windows, bpe_encode_words, bpe_dropout, sp_encode, corpus_rollup, stream_tokens, stream_vocabulary, io_line_round_trip,
 ]
 
 
 def queries():
     made = {name: _line(**options) for name, options in (LINES | PYTHON_LINES).items()}
+    made |= {"tok_placeholders": _held_lines(), "tok_placeholders_preserved": _held_lines(preserve_placeholders=True)}
     made |= {"ranges_bytes": _ranges(False), "ranges_unicode": _ranges(True)}
     return made | {f.__name__: f for f in PLAIN}
 

@@ -38,3 +38,13 @@ def discard(*tables: DataFrame) -> None:
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._written_at)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark) -> None:
+    """From now on Arrow batches of this session have BATCH_ROWS rows at most, unless it was told otherwise: rows are whole texts here, and a batch is held by the executor and by its Python worker."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))

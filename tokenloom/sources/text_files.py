@@ -19,9 +19,9 @@ def read_lines(spark: SparkSession, path: str | list[str], *, numbered: bool = F
 
 
 def _write(lines: DataFrame, output: str, ordered: bool) -> None:
-    """One text file for each input split. ordered: a single file in input order."""
+    """One text file for each input split. ordered: files whose lines, in the order of the files' names, are in input order; ranges of lines, so that no task sees all."""
     if ordered:
-        lines = lines.repartitionByRange(1, "file", "block", "place").sortWithinPartitions("file", "block", "place")
+        lines = lines.repartitionByRange("file", "block", "place").sortWithinPartitions("file", "block", "place")
     lines.select("line").write.text(output, lineSep="\n")
 
 
@@ -49,18 +49,18 @@ def bpe_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """word, n from lines `word count`; words that come twice are added up, other lines raise."""
     lines = spark.read.text(path, lineSep="\n").filter("value <> ''")
     good = F.col("value").rlike("^[^ ]* [0-9]+$")
-    checked = F.when(good, F.split("value", " ")).otherwise(F.raise_error(F.lit("Failed reading vocabulary file")))
+    checked = F.when(good, F.split("value", " ")).otherwise(F.raise_error(F.lit("a dictionary line is a word, one space and a count")))
     return lines.select(checked.alias("p")).groupBy(F.col("p")[0].alias("word")).agg(F.sum(F.col("p")[1].cast("long")).alias("n"))
 
 
 def vocabulary_restriction(spark: SparkSession, path: str, threshold: int = 0) -> DataFrame:
-    """token, frequency of a restriction file, from the threshold on."""
+    """token, frequency of a restriction file, from the threshold on. Frequencies beyond an int count as the largest one."""
     lines = spark.read.text(path, lineSep="\n")
     sep = F.when(F.col("value").contains(" "), " ").otherwise("\t")
     place = F.instr("value", sep)
     rows = lines.select(
         F.when(place > 0, F.substring("value", F.lit(1), place - 1)).otherwise(F.col("value")).alias("token"),
-        F.when(place > 0, F.substring("value", place + 1, F.char_length("value")).cast("int")).otherwise(F.lit(1)).alias("frequency"),
+        F.when(place > 0, F.least(F.substring("value", place + 1, F.char_length("value")).cast("decimal(38,0)"), F.lit(2**31 - 1)).cast("int")).otherwise(F.lit(1)).alias("frequency"),
     )
     return rows.filter(F.col("frequency") >= threshold)
 
