@@ -3,9 +3,8 @@
 `decode()` reads any GIF87a or GIF89a: LZW code streams of growing width, global and local palettes, interlacing, and the disposal, delay and
 transparency of each frame, composed on the logical screen. `frames()` stores timed frames as rows with a 64-bin colour histogram (2 bits of each of red, green, blue).
 
-`encode()` stores bytes as 8-bit samples: frames of 64 columns and ROWS rows at most, shown for 100 ms each, with a grey palette so that a sample is its own colour. Its code
-streams hold literals with a clear code before the width would grow, so all codes have 9 bits and both ways are array operations; with compress=True, codes
-of strings are used as well. A payload is the text's UTF-8 bytes and zero bytes up to a positive multiple of 64.
+`encode()` stores bytes as 8-bit samples: frames of 64 columns and ROWS rows at most, shown for 100 ms each, with a grey palette so that a sample is its own colour. Codes are found one by
+one, bits are packed and unpacked as arrays. A payload is the text's UTF-8 bytes and zero bytes up to a positive multiple of 64.
 
 Nulls and empty texts: 64 zero bytes. A null media column gives null features; bytes that are no GIF raise ValueError. Memory grows with the longest text alone. Other columns stay as they are.
 """
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 COLUMNS, ROWS = 64, 1024
 DELAY = 10  # hundredths of a second
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
-RUN = 254  # literals between two clear codes: one more would make the codes wider
 
 
 @dataclass
@@ -60,144 +58,110 @@ def _blocks(data: bytes) -> bytes:
     return out.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """A code stream (minimum size 8) of literals alone: every code has 9 bits."""
-    runs = -(-len(samples) // RUN)
-    codes = np.full((runs, RUN + 1), 256, np.uint64)
-    flat = np.zeros(runs * RUN, np.uint64)
-    flat[: len(samples)] = samples
-    codes[:, 1:] = flat.reshape(runs, RUN)
-    codes = codes.ravel()[: runs + len(samples)]
-    padded = np.zeros(-(-(len(codes) + 1) // 8) * 8, np.uint64)
-    padded[: len(codes)], padded[len(codes)] = codes, 257
-    eight = padded.reshape(-1, 8)
-    low = eight[:, 0].copy()
-    for k in range(1, 8):
-        low |= eight[:, k] << np.uint64(9 * k)
-    out = np.empty((len(eight), 9), np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = eight[:, 7] >> np.uint64(1)
-    return out.tobytes()[: -(-(len(codes) + 1) * 9 // 8)]
+def _widths(size: int, n: int) -> np.ndarray:
+    """Bits of the n codes that follow a clear code: as many as it takes to write the newest entry of the reader's table, 12 at most."""
+    newest = np.minimum((1 << size) + 1 + np.arange(n), 4095)
+    return np.maximum(np.frexp(newest.astype(float))[1], size + 1).astype(np.int64)
 
 
 def lzw_compress(samples: bytes, size: int = 8) -> bytes:
-    """A code stream with codes of strings: the longest known string each time."""
-    clear, acc, bits, out = 1 << size, 0, 0, bytearray()
-    table, width, free, have = {bytes([i]): i for i in range(clear)}, size + 1, clear + 2, b""
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    put(clear)
+    """A code stream with codes of strings: the longest known string each time, and a clear code when the table is full."""
+    clear = 1 << size
+    codes, table, free = [clear], {}, clear + 2
+    put, find, have = codes.append, table.get, -1
     for value in samples:
-        longer = have + bytes([value])
-        if longer in table:
-            have = longer
-            continue
-        put(table[have])
-        if free < 4096:
-            table[longer] = free
-            if free == 1 << width:
-                width += 1
-            free += 1
+        if have < 0:  # the first of all
+            have = value
+        elif code := find(have << 8 | value):
+            have = code
         else:
-            put(clear)
-            table, width, free = {bytes([i]): i for i in range(clear)}, size + 1, clear + 2
-        have = bytes([value])
-    if have:
-        put(table[have])
-        if free == 1 << width and width < 12:
-            width += 1
+            put(have)
+            if free < 4096:
+                table[have << 8 | value] = free
+                free += 1
+            else:
+                put(clear)
+                table.clear()
+                free = clear + 2
+            have = value
+    if have >= 0:
+        put(have)
     put(clear + 1)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def _literals(data: bytes, size: int) -> np.ndarray | None:
-    """The samples if the stream is literals and clear codes of one width, else None: what lzw_literals() writes."""
-    if size != 8:
-        return None
-    n = len(data) * 8 // 9
-    raw = np.zeros(-(-n // 8) * 9 + 8, np.uint8)
-    raw[: len(data)] = np.frombuffer(data, np.uint8)
-    nine = raw[: len(raw) - 8].reshape(-1, 9)
-    low = np.ascontiguousarray(nine[:, :8]).view("<u8").ravel()
-    codes = np.empty((len(nine), 8), np.uint16)
-    for k in range(7):
-        codes[:, k] = low >> np.uint64(9 * k) & np.uint64(511)
-    codes[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | nine[:, 8].astype(np.uint16) << 1
-    codes = codes.ravel()[:n]
-    marks = np.flatnonzero(codes >= 256)
-    stop = np.flatnonzero(codes[marks] != 256)
-    if not len(stop) or codes[marks[stop[0]]] != 257 or codes[0] != 256:
-        return None
-    marks = marks[: stop[0] + 1]
-    if np.any(np.diff(marks) > RUN + 1):
-        return None
-    codes = codes[: marks[-1]]
-    return codes[codes < 256].astype(np.uint8)
+    made = np.array(codes, np.int64)
+    # a clear code has the width of its place in the run that it ends
+    run = np.arange(len(made))
+    marks = np.flatnonzero(made == clear)
+    run -= np.append(0, marks + 1)[np.searchsorted(marks, run, "left")]
+    bits = _widths(size, int(run.max()) + 1)[run]
+    at = np.cumsum(bits) - bits
+    out = np.zeros(int(at[-1] + bits[-1]) + 31 >> 3, np.uint8)
+    made <<= at & 7
+    for k in range(3):  # the bits of codes are apart, so their sum is their union
+        out += np.bincount((at >> 3) + k, weights=made >> 8 * k & 255, minlength=len(out))[: len(out)].astype(np.uint8)
+    return out[: int(at[-1] + bits[-1]) + 7 >> 3].tobytes()
+
+
+def _runs(data: bytes, size: int) -> Iterator[list[int]]:
+    """The codes between clear codes, up to the end code or the end of data."""
+    raw = np.append(np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)).astype(np.int64)
+    total, start, clear = 8 * len(data), 0, 1 << size
+    while start + size < total:
+        n = 4096
+        while True:  # a run may go on after its table is full
+            bits = _widths(size, n)
+            ends = start + np.cumsum(bits)
+            have = int(np.searchsorted(ends, total, "right"))
+            at = (ends - bits)[:have]
+            byte = at >> 3
+            codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (at & 7) & (1 << bits[:have]) - 1
+            stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+            if len(stop) or have < n:
+                break
+            n *= 4
+        k = int(stop[0]) if len(stop) else have
+        yield codes[:k].tolist()
+        if not len(stop) or codes[k] == clear + 1:
+            return
+        start = int(ends[k])
 
 
 def lzw_decode(data: bytes, size: int) -> np.ndarray:
-    """Samples of a code stream; it may end without an end code."""
-    if (plain := _literals(data, size)) is not None:
-        return plain
-    clear = 1 << size
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, last, out = list(base), size + 1, None, []
-    acc = bits = 0
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            bits -= width
-            if code == clear:
-                table, width, last = list(base), size + 1, None
-                continue
-            if code == clear + 1:
-                return np.frombuffer(b"".join(out), np.uint8)
-            if last is None:
-                word = table[code]
+    """Samples of a code stream; it may end without an end code. An entry is the string of the code before it and the next sample, which stand in the output already: so strings are copied from there."""
+    first, out = (1 << size) + 2, bytearray()
+    for codes in _runs(data, size):
+        begins = []
+        for code in codes:
+            at = len(out)
+            if code < first:
+                out.append(code)
             else:
-                if code < len(table):
-                    word = table[code]
-                elif code == len(table) < 4096:
-                    word = last + last[:1]
+                k = code - first
+                if k + 1 < len(begins):
+                    out += out[begins[k] : begins[k + 1] + 1]
+                elif k + 1 == len(begins):  # the entry that this very code completes
+                    out += out[begins[k] : at]
+                    out.append(out[begins[k]])
                 else:
                     raise ValueError("LZW code beyond the table")
-                if len(table) < 4096:
-                    table.append(last + word[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out.append(word)
-            last = word
-    return np.frombuffer(b"".join(out), np.uint8)
+            begins.append(at)
+    return np.frombuffer(bytes(out), np.uint8)
 
 
-def pack(width: int, height: int, palette: np.ndarray, frames: list[dict], *, compress: bool = False) -> bytes:
+def pack(width: int, height: int, palette: np.ndarray, frames: list[dict]) -> bytes:
     """A GIF of frames: samples (rows by columns), and left, top, delay (hundredths), disposal, transparent if not 0, 0, 0, 0, none."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
     for f in frames:
         samples, see = np.ascontiguousarray(f["samples"], np.uint8), f.get("transparent")
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, f.get("disposal", 0) << 2 | (see is not None), f.get("delay", 0), see or 0, 0))
         out.append(struct.pack("<BHHHHBB", 0x2C, f.get("left", 0), f.get("top", 0), samples.shape[1], samples.shape[0], 0, 8))
-        out.append(_blocks(lzw_compress(samples.tobytes()) if compress else lzw_literals(samples.ravel())))
+        out.append(_blocks(lzw_compress(samples.tobytes())))
     return b"".join([*out, b";"])
 
 
-def encode(payload: bytes, *, compress: bool = False) -> bytes:
+def encode(payload: bytes) -> bytes:
     """payload (a positive multiple of 64 bytes) as a GIF."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
-    return pack(COLUMNS, min(ROWS, len(rows)), GREY, [{"samples": rows[k : k + ROWS], "delay": DELAY, "disposal": 1} for k in range(0, len(rows), ROWS)], compress=compress)
+    return pack(COLUMNS, min(ROWS, len(rows)), GREY, [{"samples": rows[k : k + ROWS], "delay": DELAY, "disposal": 1} for k in range(0, len(rows), ROWS)])
 
 
 def decode(data: bytes) -> Iterator[Frame]:
@@ -284,13 +248,13 @@ def payload(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 or (0 if text else 64))
 
 
-def add_media(df: DataFrame, *, text_col: str = "text", name: str = "media", compress: bool = False) -> DataFrame:
+def add_media(df: DataFrame, *, text_col: str = "text", name: str = "media") -> DataFrame:
     """df with text_col stored as a GIF."""
 
     @F.arrow_udf("binary")
     def store(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([encode(payload((x.as_py() or "").encode()), compress=compress) for x in column], pa.binary())
+            yield pa.array([encode(payload((x.as_py() or "").encode())) for x in column], pa.binary())
 
     return df.withColumn(name, store(F.col(text_col)))
 
