@@ -6,9 +6,9 @@ where none is an assistant's) is a last example with an empty target, so that th
 Template: a turn is `<s>[role]text</s>`. Inside role and text `\\`, `<`, `[` and `]` are written `\\0`, `\\1`, `\\2`, `\\3`, so no control string
 can occur in them, and the escape is undone exactly.
 
-An example is kept as what it adds to the one before: `lead` (turns since the last reply, and the opening of its own) and `target`. Its context
-is all that earlier examples of the conversation hold, then its lead, `context_chars` long; `expand()` writes contexts out. So the plan moves each turn once,
-though the contexts of n turns add up to n * n / 2, and a long conversation is sorted and numbered by spilling window functions, never gathered.
+examples() keeps an example as what it adds to the one before: `lead` (turns since the last reply, and the opening of its own) and `target`. Its context
+is all that earlier examples of the conversation hold, then its lead, `context_chars` long; `expand()` writes contexts out. So turns are shuffled once, and the contexts, which for n turns
+add up to n * n / 2, are made after that. examples() sorts and numbers a long conversation by spilling window functions; a row of expand() holds one conversation.
 
 Nulls: a null text or role is empty; null turns come first; rows with a null conversation are one conversation. Ties of turn go by role, then text. Empty
 table: no rows. Other columns are ignored.
@@ -77,11 +77,13 @@ def with_contract_case(turns: DataFrame) -> DataFrame:
 
 
 def op9(spark, turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, read back from its examples: turns from leads and targets in order, the loss from targets alone."""
-    rows = examples(with_contract_case(turns))
-    per = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "lead", "target"))).alias("e"), F.sum(F.col("context_chars") + F.char_length("target")).alias("formatted_chars"))
-    whole = F.array_join(F.transform("e", lambda x: F.concat(x["lead"], x["target"])), "")
+    """Digests of each conversation, read back from its expanded examples: the turns from the last one, which holds them all, the loss from all targets, the size from all texts as they are."""
+    rows = expand(examples(with_contract_case(turns)))
+    per = rows.groupBy("conv_id").agg(
+        F.max_by(F.concat("context", "target"), "example").alias("whole"), F.array_sort(F.collect_list(F.struct("example", "target"))).alias("e"),
+        F.sum(F.char_length("context") + F.char_length("target")).alias("formatted_chars"),
+    )
     loss = F.array_join(F.transform("e", lambda x: unescape(F.regexp_replace(x["target"], END + "$", ""))), "")
-    out = per.select("conv_id", "formatted_chars", parse(whole).alias("t"), loss.alias("loss"))
+    out = per.select("conv_id", "formatted_chars", parse(F.col("whole")).alias("t"), loss.alias("loss"))
     said = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
