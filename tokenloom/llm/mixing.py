@@ -9,8 +9,8 @@
 4. A shard's texts in seeded order are one run of words cut into blocks. Its quota is taken from the beginning, once around for every time the shard's words are
    used up, twice at most: so a text is taken 0, 1 or 2 times its size, or in part where a quota ends.
 
-No task holds more than a shard, or one row for each source or shard; no key is gathered. Nulls: a null text has size 0, a null source is a source of its own (last),
-a null doc_id is hashed as empty. Rows that are equal in all of doc_id, text and source take what their places in the order give. Empty texts take 0. Empty table: no rows.
+Texts are read once: sizes, sources and places in the order are written to the shared folder, and all that follows reads those. No task holds more than a shard, or one row for each source or
+shard; no key is gathered. Nulls: a null text has size 0, a null source is a source of its own (last), a null doc_id is hashed as empty. Rows that are equal in all of doc_id, text and source take what their places in the order give. Empty texts take 0. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tokenloom.sources.tables import written
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 BLOCK = 64
-SHARD = 4_000_000
+SHARD = 1_000_000
 SEED = "mix-1"
 
 
@@ -67,10 +69,16 @@ def _order(doc_id: Column, text: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit(""))))
 
 
-def mix(docs: DataFrame, *, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words; repeats counted) for each document."""
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words; repeats counted) for each document. options: block, shard, seed."""
+    return _mixed(docs, id_col, text_col, source_col, **options).drop("place")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *, block: int = BLOCK, shard: int = SHARD, seed: str = SEED) -> DataFrame:
+    """What mix() returns, and place: the hash of id and text that orders a shard."""
     order = _order(F.col(id_col), F.col(text_col), seed)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("place"))
+    sized = written(sized, "sized")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("long"))
     sources = apportion(sources, [], ["source"], "target", "seats").withColumnRenamed("quota", "blocks")
@@ -88,17 +96,17 @@ def mix(docs: DataFrame, *, block: int = BLOCK, shard: int = SHARD, seed: str =
     around = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("words") - around * F.col("shard_size")
     taken = around * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - begin))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "place")
 
 
 def op10(spark, docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each as often as its taken words hold it, a part counting from one half."""
-    plan = mix(docs.select("doc_id", "text", "source"), **options).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    plan = plan.withColumn("_times", times).filter("_times > 0").withColumnRenamed("doc_id", "_id").select("_id", "_times")
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, *, seed: str = SEED, **options) -> DataFrame:
+    """docs as the mix takes them: each as often as its taken words hold it, a part counting from one half. Rows equal in doc_id and text share what they take."""
+    plan = _mixed(docs, "doc_id", "text", "source", seed=seed, **options).groupBy("place").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
+    plan = plan.select(F.col("place").alias("of"), times.alias("times")).filter("times > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _order(F.col("doc_id"), F.col("text"), seed).alias("place"))
+    return rows.join(plan, F.col("place") == F.col("of")).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
