@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, U64, buffers, mix, prefix, ragged, slices, span_hash, written
+from tokenloom.llm._text import BYTE_CODE, U64, buffers, lean, mix, prefix, ragged, slices, span_hash
+from tokenloom.sources.tables import discard, written
 
 LENGTH, GRAM, RUN = 400, 12, 128
 QUARTER = RUN // 4
@@ -90,7 +91,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 ], names=["core", "whole", "id", "th", "first", "shape"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.select("id", "th", "text").mapInArrow(rows, f"core long, whole long, id {kind}, th int, first int, shape int")
+    return docs.select("id", "th", "text").mapInArrow(lean(rows), f"core long, whole long, id {kind}, th int, first int, shape int")
 
 
 def _borders(joined: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def _borders(joined: DataFrame) -> DataFrame:
                 ], names=["key", "core", "n", "id", "th", "base", "range", "beside"])
 
     kind = dict(joined.dtypes)["id"]
-    return joined.mapInArrow(rows, f"key long, core long, n long, id {kind}, th int, base int, range int, beside binary")
+    return joined.mapInArrow(lean(rows), f"key long, core long, n long, id {kind}, th int, base int, range int, beside binary")
 
 
 def _border_spans(borders: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def _border_spans(borders: DataFrame) -> DataFrame:
         ], names=["id", "th", "s", "e"])
 
     kind = dict(borders.dtypes)["id"]
-    return borders.repartition("key").mapInArrow(rows, f"id {kind}, th int, s int, e int")
+    return borders.repartition("key").mapInArrow(lean(rows), f"id {kind}, th int, s int, e int")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,14 +192,18 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id, th, spans array<struct<s, e>>): byte ranges of repeated strings in each text that has any; they may overlap. th: 32 bits of the text's hash, beside the id."""
     keyed = _keyed(docs, id_col, text_col)
     rows = _anchor_rows(keyed)
-    shared = rows.groupBy("core").agg(F.count("*").alias("places")).filter("places > 1").select("core")
+    # written before they are joined: only then can adaptive skew handling split a frequent core
+    shared = written(rows.groupBy("core").agg(F.count("*").alias("places")).filter("places > 1").select("core"), "cores")
     rows = written(rows.join(shared, "core"), "anchors")
-    classes = written(rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "shape")).alias("rep")), "classes")
+    discard(shared)
+    # the first of a class, in all columns the same row: any will do, since their strings are equal, and what is written stays
+    classes = written(rows.groupBy("core", "whole").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "th", "first", "shape"))), "classes")
     many = classes.filter("n > 1").select("core", "whole")
     strings = F.col("shape").bitwiseAND(0xFFFF)
     full = rows.join(many, ["core", "whole"], "left_semi").select("id", "th", F.col("first").alias("s"), (F.col("first") + strings - 1 + LENGTH).alias("e"))
-    mixed = classes.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core")
-    edges = classes.join(mixed, "core").select("core", "n", "rep.*")
+    mixed = written(classes.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core"), "mixed")
+    edges = written(classes.join(mixed, "core").select("core", "n", "id", "th", "first", "shape"), "edges")
+    discard(mixed)
     held = edges.groupBy("id", "th").agg(F.collect_list(F.struct("core", "n", "first", "shape")).alias("edges"))
     d, e = keyed.alias("d"), held.alias("e")
     # rows repeated in full have one set of edges: one of them is enough
@@ -242,7 +247,7 @@ def _cuts(docs: DataFrame, id_col: str, text_col: str, last: str, make) -> DataF
     kind = dict(docs.dtypes)[id_col]
     d, s = _keyed(docs, id_col, text_col).alias("d"), repeated_spans(docs, id_col=id_col, text_col=text_col).alias("s")
     joined = d.join(s, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.th") == F.col("s.th")), "left").select("d.id", "d.text", "s.spans")
-    return joined.mapInArrow(rows, f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(rows), f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}").withColumnRenamed("id", id_col)
 
 
 def op2(spark, docs: DataFrame) -> DataFrame:
