@@ -112,6 +112,51 @@ def test_op3(spark, docs, none):
     assert lm_scoring.op3(spark, none).count() == 0
 
 
+def test_op3_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 100)  # several shards of a small table
+    texts = [(k, prose(40, 3000 + k % 50), k) for k in range(120)] + [(None, None, 0), (None, "x y", 1), (7, prose(40, 1), 2)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, score long")
+    one, two = ({(r["doc_id"], r["n_tokens"], round(r["base_score"], 9), r["score"]) for r in lm_scoring.op3(spark, table.repartition(n)).collect()} for n in (2, 9))
+    assert one == two
+
+
+def test_op3_scores_are_the_models(spark):
+    """Scores by a plain walk over the tokens of a table whose words are all classes of their own."""
+    texts = [(k, " ".join(WORDS[(k * j + j) % 60] for j in range(50))) for k in range(60)] + [(100, "never seen here"), (101, None)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    held = {}
+    real = lm_scoring.Model.tables
+    lm_scoring.Model.tables = lambda self: held.setdefault("m", self) and real(self)
+    try:
+        got = {r["doc_id"]: r for r in lm_scoring.op3(spark, table).collect()}
+    finally:
+        lm_scoring.Model.tables = real
+    m = held["m"]
+    out = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 5 == 1}
+    c = Counter(w for i, t in texts if i not in out for w in [*(t or "").lower().split(), "\n"])
+    order = sorted(c, key=lambda w: (-c[w], int(_hash(w).view(np.int64))))
+    number = {w: k for k, w in enumerate(order)}
+    buckets = lambda w: int(lm_scoring.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    size = lm_scoring.CLASSES
+    for i, t in texts:
+        u = v = number["\n"]
+        total = 0.0
+        for w in [*(t or "").lower().split(), "\n"]:
+            k = number.get(w, lm_scoring.FREQUENT + buckets(w) if w != "\n" else None)
+            context = m.r[u].astype(float) * m.c[0] + m.r[v].astype(float) * m.c[1]
+            logits = m.q.astype(float) @ context + m.b
+            total += (logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / np.log(10)
+            u, v = k, u
+        assert len(logits) == size and abs(total - got[i]["score"]) < 2e-3 * abs(total) + 1e-3, (i, total, got[i]["score"])
+
+
+def _hash(word):
+    if word == "\n":
+        return lm_scoring.END[0]
+    b = np.frombuffer(word.encode(), np.uint8)
+    return lm_scoring.tokens(b, np.array([0, len(b)]))[0][0]
+
+
 def test_lm_probabilities_add_up():
     m = lm_scoring.Model(np.arange(lm_scoring.CLASSES).astype(float))
     one, two, z = m.tables()
@@ -166,6 +211,65 @@ def test_op4_finds_a_part_of_a_long_item(spark):
     assert [(r["doc_id"], r["same_values"]) for r in got] == [(1, False)]
 
 
+def test_op4_against_brute_force(spark):
+    """Windows of template words, joined by hand: items with several values, copies with consistent and with mixed-up values, halves, and texts that share a few words."""
+    r = np.random.default_rng(21)
+    units = ["km", "dollars", "hours"]
+
+    def item(k):
+        out = prose(int(r.integers(14, 40)), 4000 + k).lower().rstrip(".").split()
+        for at in sorted(r.integers(1, len(out), 3).tolist()):
+            out[at:at] = [str(int(r.integers(2, 90))), units[int(r.integers(3))]]
+        return out
+
+    items = [item(k) for k in range(12)]
+    docs = []
+    for k, words in enumerate(items):
+        numbers = sorted({w for w in words if w.isdigit()})
+        other = {n: str(1000 + 7 * k + j) for j, n in enumerate(numbers)}
+        spoiled = [str(5000 + j) if w.isdigit() else w for j, w in enumerate(words)]  # one value for each place
+        half = len(words) // 2
+        for j, body in enumerate((words, [other.get(w, w) for w in words], spoiled, words[: half + 2], words[: max(4, len(words) // 3)])):
+            docs.append((10 * k + j, " ".join([*prose(15, 100 * k + j).lower().rstrip(".").split(), *body, *prose(9, 90 * k + j).lower().rstrip(".").split()])))
+    docs += [(1000 + k, prose(80, 8000 + k).lower()) for k in range(10)]
+
+    def slot(w):
+        return "#" if w.isdigit() else "@" if w in units else w
+
+    def found(text, words):
+        t, spots = text.rstrip(".").split(), {}
+        a, b = [slot(w) for w in t], [slot(w) for w in words]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0  # the longest equal stretch from here on
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                plain, end = 0, 0
+                while end < n and (end < 5 or plain < 3):
+                    plain += b[j + end] not in "#@"
+                    end += 1
+                if end >= 5 and plain >= 3:
+                    spots.setdefault(i - j, set()).update(range(j, j + end))
+        matched, run = set(), False
+        for d, places in spots.items():
+            pairs = {(words[p], t[p + d]) for p in places if b[p] in "#@"}
+            same = {p for p in places if words[p] == t[p + d]}
+            agree = len({x for x, _ in pairs}) == len(pairs)
+            use = places if agree else same
+            longest = max((len(list(g)) for _, g in __import__("itertools").groupby(sorted(use), lambda p, c=__import__("itertools").count(): p - next(c))), default=0)
+            if agree or longest >= 25:
+                matched |= use
+                run |= longest >= 25
+        return run or (len(matched) >= 0.5 * len(words) and len(matched) >= min(10, len(words)))
+
+    want = {(i, k) for i, t in docs for k, words in enumerate(items) if found(t, words)}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(table, bench).collect()}
+    assert {(10 * k + j, k) for k in range(12) for j in (0, 1)} <= want
+    assert got == want
+
+
 def test_windows_hold_every_word_of_an_item():
     r = np.random.default_rng(4)
     for _ in range(200):
@@ -256,6 +360,50 @@ def test_op6(spark, none):
     assert {r["score"] for r in toxicity.op6(spark, docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_op6_repeats_ties_and_extra_columns(spark):
+    made = [(k % 40, prose(20, k % 40) + (" vile words" if k % 40 < 12 else ""), "x", 1.5) for k in range(120)]  # every row three times
+    docs = spark.createDataFrame(made, "doc_id long, text string, row string, _toxic_score double").repartition(3)
+    labels = spark.createDataFrame([(k, int(k < 12)) for k in range(40)] + [(3, 0), (3, 1), (30, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.repartition(7), labels)
+    assert np.array_equal(model.places, again.places) and np.array_equal(model.weights, again.weights) and model.bias == again.bias
+    got = toxicity.op6(spark, docs, labels).collect()
+    assert len(got) == 120 and all(len({r["score"] for r in got if r["doc_id"] == k}) == 1 for k in range(40))
+    clean = toxicity.without_toxic(docs, model)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(range(12, 40)) and clean.count() == 84
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumn("score", F.lit(1)), model)
+    # very long and null texts are learned from
+    long = spark.createDataFrame([(k, "vile " * 60_000 if k < 30 else None) for k in range(60)], "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.op6(spark, long, spark.createDataFrame([(k, int(k < 30)) for k in range(60)], "doc_id long, toxic int")).collect()}
+    assert min(scores[k] for k in range(30)) > 0.6 > 0.4 > max(scores[k] for k in range(30, 60))
+
+
+def test_pipeline_stages_keep_rows_and_columns(spark):
+    """Null and repeated ids, columns named as the operators' own, empty tables: each stage drops what it should, and nothing else."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, place string, _times int, _copy int, score double, key string, _id long"
+    leak = prose(40, 71)
+    made = [(None, prose(30, 1)), (None, prose(30, 2)), (None, leak), (4, prose(30, 3)), (4, prose(30, 4)), (4, leak + " and more"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i else None, 0, "r", "p", 7, 8, 0.5, "k", 9) for i, t in made], schema).repartition(2)
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = decontamination.without_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, (r["text"] for r in kept.collect()))) == sorted(repr(t) for _, t in made if not (t or "").startswith(leak[:-1]))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and all((r["_times"], r["_copy"], r["place"]) == (7, 8, "p") for r in mixed.collect())
+    plan = {}
+    for r in mixing.mix(docs).collect():
+        plan.setdefault((r["doc_id"], r["size"]), []).append(r)
+    assert {r["doc_id"] for r in mixed.collect()} <= {i for i, _ in made}
+    for stage in (lambda d: decontamination.without_leaks(d, bench), mixing.mixed_documents, near_dedup.without_near_duplicates, lambda d: toxicity.without_toxic(d, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False))):
+        empty = stage(docs.limit(0))
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert toxicity.without_toxic(docs, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False)).count() == len(made)
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
 def test_op7(spark, docs, none):
     import sentencepiece
 
@@ -360,6 +508,15 @@ def test_op9(spark):
         loss = "".join(t for *_, role, t in x if role == "assistant")
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in x).encode()).hexdigest()
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(x), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    coded = {"\\": "\\0", "<": "\\1", "[": "\\2", "]": "\\3"}
+    for c, x in by.items():
+        at, chars, last = "", 0, ""
+        for *_, role, t in x:
+            opening, body = f"<s>[{''.join(coded.get(k, k) for k in role)}]", "".join(coded.get(k, k) for k in t) + "</s>"
+            if role == "assistant":
+                chars += len(at + opening + body)
+            at, last = at + opening + body, role
+        assert got[c]["formatted_chars"] == chars + (len(at) if last != "assistant" else 0)
     full = chat.expand(chat.examples(turns)).filter("conv_id = 1").orderBy("example").collect()
     assert [bool(r["target"]) for r in full] == [True, True, True, False] and all(b["context"].startswith(a["context"] + a["target"]) for a, b in pairwise(full))
     assert chat.examples(turns.limit(0)).count() == 0
@@ -367,6 +524,22 @@ def test_op9(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_op1_other_ids(spark):
+    table = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, None)], "doc_id string, text string")
+    got = token_output.op1(spark, table, vocabulary_file("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, "a", "b"] and [r["start"] for r in got] == [0, 1, 1 + got[1]["n_tokens"]]
+
+
+def test_op9_long_conversation(spark):
+    """Hundreds of turns in any order of rows: every reply is trained on once, with all turns before it."""
+    made = [(5, k, "assistant" if k % 2 else "user", f"{prose(3, k)} <s>[x]") for k in range(301)]
+    turns = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").repartition(5)
+    r = {x["conv_id"]: x for x in chat.op9(spark, turns).collect()}[5]
+    loss = "".join(t for *_, role, t in made if role == "assistant")
+    assert (r["n_turns"], r["loss_sha256"]) == (301, hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.expand(chat.examples(turns)).count() == 151
+
+
 def test_op10(spark, docs, none):
     got = mixing.op10(spark, docs).collect()
     assert len(got) == len(ROWS) and mixing.op10(spark, none).count() == 0

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20  # rows are handled in slices of about so many bytes; one longer text is a slice of its own
+SLICE_BYTES = 1 << 19  # rows are handled in slices of about so many bytes; one longer text is a slice of its own
 U64 = np.uint64
+pa.set_memory_pool(pa.system_memory_pool())  # the other pools keep what batches have freed, in every worker
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**62, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -29,10 +30,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def lean(rows):
-    """The batch function rows, after which its worker gives memory back: workers stay for later tasks and stages, and what they have freed would else count as theirs."""
+kept: list[dict] = []  # what operators keep in a worker for their later tasks
+
+
+def lean(rows, *, keep: bool = False):
+    """The batch function rows, before which its worker forgets what other operators have kept (unless it keeps something itself), and after which it gives memory back: workers stay for later tasks
+    and stages, and what they have freed would else count as theirs."""
 
     def run(batches):
+        if not keep:
+            forget()
         try:
             yield from rows(batches)
         finally:
@@ -41,6 +48,11 @@ def lean(rows):
     return run
 
 
+def forget() -> None:
+    for cache in kept:
+        cache.clear()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, LOWER, U64, HashIndex, buffers, byte_classes, mix, prefix, slices, span_hash
+from tokenloom.llm._text import BYTE_CODE, LOWER, U64, HashIndex, buffers, byte_classes, lean, mix, prefix, slices, span_hash
 
 WINDOW, PLAIN = 5, 3
 COVERAGE, LEAST = 0.5, 10
@@ -181,7 +181,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, *, items: bool = False,
                             pa.array(np.full(len(i), whole)), pa.array((plain > 0) & (plain + n >= 5) | (plain == n)),
                         ], names=["id", "h", "pos", "size", "n_words", "slots", "whole", "free"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, ROW.format(kind=kind))
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(rows), ROW.format(kind=kind))
 
 
 def _has_run(words: Column) -> Column:
@@ -223,6 +223,8 @@ def op4(spark, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
+    """Documents that hold no item of the benchmark. Told by their texts alone, so ids may be null or repeated."""
+    key = F.md5(F.col("text"))
+    found = leaks(docs.select(key.alias("key"), "text"), benchmark, doc_id="key").select("doc_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return rows.join(found, rows["key"] == found["doc_id"], "left_anti").select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, ragged, slices, span_hash, words
+from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, give_back, lean, mix, prefix, ragged, slices, span_hash, words
 from tokenloom.sources.tables import discard, written
 
 SHINGLE, SKETCHES, PICK, THRESHOLD = 5, 16, 2, 0.8
@@ -155,7 +155,7 @@ def text_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(made.view(np.int64))),
                 ], names=["id", "k1", "k2", "sketches"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, k1 long, k2 long, sketches array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(rows), f"id {kind}, k1 long, k2 long, sketches array<long>")
 
 
 def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(edges), pa.py_buffer(low.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), held], names=["k1", "k2", "seq"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(rows, "k1 long, k2 long, seq binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(rows), "k1 long, k2 long, seq binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def _compared(pairs: DataFrame, sequences: DataFrame, threshold: float, *, hubs:
 
     # a hub's pairs are split by adaptive skew handling
     both = pairs.join(sequences.select(F.col("t").alias("a"), F.col("seq").alias("left")), "a").join(sequences.select(F.col("t").alias("b"), F.col("seq").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(rows, "a long, b long" + ", linked boolean, n int, gone binary" * hubs)
+    return both.select("a", "b", "left", "right").mapInArrow(lean(rows), "a long, b long" + ", linked boolean, n int, gone binary" * hubs)
 
 
 def first_places(n: int, d: int, threshold: float) -> int:
@@ -255,7 +255,7 @@ def _rest_pairs(rest: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], names=["cell", "n"])
 
     spark = rest.sparkSession
-    sums = rest.select("hub", "gone").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = rest.select("hub", "gone").mapInArrow(lean(cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     table = sums.filter("n > 1").toArrow()  # at most CELLS rows; what occurs once comes first anyway
     counts = np.zeros(CELLS, np.int32)
     counts[table.column(0).to_numpy()] = np.minimum(table.column(1).to_numpy(), 2**31 - 1)
@@ -283,7 +283,7 @@ def _rest_pairs(rest: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
                 ], names=["key", "place", "d", "t", "n", "label", "open"])
 
     flat = rest.select("t", "hub", "n", "gone", "label", "open")
-    rows = written(flat.mapInArrow(firsts, "key long, place int, d int, t long, n int, label long, open boolean"), "firsts")
+    rows = written(flat.mapInArrow(lean(firsts), "key long, place int, d int, t long, n int, label long, open boolean"), "firsts")
     x, y = rows.filter("open").alias("x"), rows.alias("y")
     sizes = F.col("x.n") + F.col("y.n")
     fit = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-6
@@ -347,6 +347,7 @@ def _text_key(text: pa.Array) -> pa.Array:
     for a, b in slices(offsets):
         at = offsets[a : b + 1]
         made.append(np.stack(kmers(buf[at[0] : at[-1]], at - at[0])[3:]).view(np.int64))
+    give_back()
     return pa.StructArray.from_arrays([pa.array(k) for k in np.concatenate(made, 1)], ["k1", "k2"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from tokenloom.llm import chat, decontamination, gif_media, lm_scoring, mixing, near_dedup, repeated_passages, token_counts, token_output, toxicity
+from tokenloom.sources.tables import small_batches
 
 
 def vocabulary_file(name: str) -> str:
@@ -17,6 +18,7 @@ def vocabulary_file(name: str) -> str:
 
 
 def _read(spark, sf_dir: str, table: str):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

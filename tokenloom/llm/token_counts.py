@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, U64, HashIndex, buffers, char_starts, mix, prefix, slices, span_hash
+from tokenloom.llm._text import BYTE_CODE, U64, HashIndex, buffers, char_starts, give_back, kept, mix, prefix, slices, span_hash
 
 LONG = 200
 CACHE = 2_000_000  # distinct cuts that a worker remembers
@@ -180,6 +180,7 @@ class Counter:
 
 
 _counters: dict[str, Counter] = {}
+kept.append(_counters)
 
 
 def counter(path: str) -> Counter:
@@ -199,6 +200,7 @@ def count_tokens(df: DataFrame, model: str, *, text_col: str = "text", n_bytes:
             buf, offsets = buffers(column)
             made = [own(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
             yield pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.array(np.concatenate([np.zeros(0, np.int64), *made]))], names=[n_bytes, n_tokens])
+        give_back()
 
     found = "__counts"
     while found in df.columns:

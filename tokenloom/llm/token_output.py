@@ -7,12 +7,13 @@ selector; SELECTORS says how many ids of how many bits follow, lowest bits first
 next word is one id as it is. Documents begin on word boundaries, so any of them can be decoded alone, and
 a block is decoded by one array operation for each selector and slot.
 
-Nulls: a null text is an empty text (the end id alone), a null doc_id sorts first. Empty table: no blocks. Other
+Ids may have any type that sorts. Nulls: a null text is an empty text (the end id alone), a null doc_id sorts first. Empty table: no blocks. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -24,15 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, U64, HashIndex, buffers, prefix, pretokens, ragged, scratch, slices, span_hash
+from tokenloom.llm._text import BYTE_CODE, U64, HashIndex, buffers, kept, lean, prefix, pretokens, ragged, slices, span_hash
+from tokenloom.sources.tables import scratch
 
 #: (ids in a word, bits of each) by selector; two selectors for runs of zeros
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30)]
 ESCAPE = 15
 LANE = 240  # ids packed from one beginning; lanes are packed side by side
 BLOCK_WORDS = 1 << 16
-CACHE = 1_000_000  # distinct pre-tokens that a worker remembers
-BLOCK_SCHEMA = "shard int, block int, start long, doc_ids array<long>, counts array<int>, word_offsets array<int>, words binary"
+CACHE = 600_000  # distinct pre-tokens that a worker remembers
+LEARNED = 4096  # pre-tokens that go to the library at once
+SHARD_BYTES = 128 << 20  # of the input, about, where that makes more shards than the session's shuffle partitions
+BLOCK_SCHEMA = "shard int, block int, start long, doc_ids array<{kind}>, counts array<int>, word_offsets array<int>, words binary"
 
 _COUNT = np.array([n for n, _ in SELECTORS] + [1])
 _BITS = np.array([b for _, b in SELECTORS] + [60])
@@ -137,6 +141,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import json
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -152,7 +157,11 @@ class Encoder:
         self.begin = np.zeros(0, np.int64)
 
     def _learn(self, texts: list[str], h: np.ndarray) -> None:
-        made = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        for a in range(0, len(texts), LEARNED):  # what the library returns takes some hundred bytes a token until it is read
+            made = [e.ids for e in self.library.encode_batch_fast(texts[a : a + LEARNED], add_special_tokens=False)]
+            self._keep(made, h[a : a + LEARNED])
+
+    def _keep(self, made: list[list[int]], h: np.ndarray) -> None:
         sizes = np.fromiter(map(len, made), np.int32, len(made))
         total = int(sizes.sum())
         while self.used + total > len(self.pool):
@@ -208,6 +217,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+kept.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:
@@ -227,15 +237,16 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, more
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> None:
     """Encode every text, append end_id, and write blocks to path in ascending id_col order: one range of ids to a shard."""
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, block, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        own, shard, block, start = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
-            keys = batch.column(0).to_pylist()
+            keys = batch.column(0)
             for a, b in slices(offsets):
                 at = offsets[a : b + 1]
                 ids, counts = _with_end(*own(buf[at[0] : at[-1]], at - at[0], batch.column(1).slice(a, b - a)), end_id)
@@ -246,21 +257,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
                     part = words[edges[i] : edges[j]]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([start + int(run[i])], pa.int64()),
-                        pa.array([keys[a + i : a + j]], pa.list_(pa.int64())), pa.array([counts[i:j]], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), keys.slice(a + i, j - i)), pa.array([counts[i:j]], pa.list_(pa.int32())),
                         pa.array([edges[i : j + 1] - edges[i]], pa.list_(pa.int32())), pa.array([part.astype("<u8").tobytes()], pa.binary()),
                     ], names=["shard", "block", "start", "doc_ids", "counts", "word_offsets", "words"])
                     block += 1
                 start += int(run[-1])
 
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as the planner knows it: of the files
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 2**50) // SHARD_BYTES)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    rows.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
+    rows.mapInArrow(lean(blocks, keep=True), BLOCK_SCHEMA.format(kind=kind)).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """One row for each document of the files: doc_id, start, n_tokens, ids array<int>."""
-    return _read(spark, path, "doc_id long, shard int, start long, n_tokens long, ids array<int>", lambda ids, edges: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32))))
+    return _read(spark, path, "doc_id {kind}, shard int, start long, n_tokens long, ids array<int>", lambda ids, edges: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32))))
 
 
 def token_digests(spark, path: str) -> DataFrame:
@@ -270,7 +282,7 @@ def token_digests(spark, path: str) -> DataFrame:
         raw = memoryview(ids.astype("<u4").tobytes())
         return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.int64())
 
-    return _read(spark, path, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long", crc)
+    return _read(spark, path, "doc_id {kind}, shard int, start long, n_tokens long, ids_crc32 long", crc)
 
 
 def _read(spark, path: str, schema: str, last) -> DataFrame:
@@ -278,8 +290,9 @@ def _read(spark, path: str, schema: str, last) -> DataFrame:
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words = np.frombuffer(row["words"], "<u8")
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in ("shard", "start", "counts", "word_offsets")}
+                words, keys = np.frombuffer(batch.column("words")[k].as_buffer(), "<u8"), batch.column("doc_ids")[k].values
                 ids, before = decode(words)
                 counts = np.array(row["counts"], np.int64)
                 at = np.append(before, len(ids))[np.array(row["word_offsets"][:-1], np.int64)] if len(counts) else counts
@@ -287,19 +300,20 @@ def _read(spark, path: str, schema: str, last) -> DataFrame:
                     raise ValueError(f"shard {row['shard']}, block {row['block']}: words and counts disagree")
                 edges = np.append(at, len(ids))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(counts), pa.int32()),
+                    keys, pa.array([row["shard"]] * len(counts), pa.int32()),
                     pa.array(row["start"] + at, pa.int64()), pa.array(counts, pa.int64()), last(ids, edges),
                 ], names=names)
 
-    table = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    table = spark.read.parquet(path)
+    kind = dict(table.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
     # ids of earlier shards: one row for each shard, of which there are as many as write partitions
     total = table.select("shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     base = total.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
-    out = table.mapInArrow(docs, schema).join(F.broadcast(base), "shard", "left")
+    out = table.mapInArrow(lean(docs), schema.format(kind=kind)).join(F.broadcast(base), "shard", "left")
     return out.withColumn("start", F.col("start") + F.col("base")).drop("shard", "base")
 
 
-def op1(spark, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def op1(spark, docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     path = scratch(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id=end_id)
+    write_tokens(docs, path, vocabulary, end_id=end_id)
     return token_digests(spark, path)

@@ -2,11 +2,10 @@
 
 Features of a text: its distinct words, pairs of neighbouring words, and pairs with one word between, A-Z in lower case, hashed to 2**BITS places. FTRL-proximal
 keeps a learning rate for each place and sets most weights to exactly 0 (L1), so the model is a short list of places and weights. It is
-fitted in one task on at most TRAIN_ROWS labelled rows (lowest hashes of doc_id, texts up to TRAIN_BYTES bytes), which bounds what that task holds; a lost executor
-means that it runs again. The driver sees the weights alone (at most 2**BITS, some thousand in practice), which closures carry to the workers. Scoring is a map over whole texts: no shuffle.
+fitted in one task on at most TRAIN_ROWS labelled rows (lowest hashes of doc_id), of which that task holds the features; a lost executor means that it runs again. The driver sees the weights alone (at most 2**BITS, some thousand in practice), which closures carry to the workers. Scoring is a map over whole texts: no shuffle.
 
-Nulls and empty texts score as a text without words (the bias alone); rows with a null label or doc_id are not learned from. Several labels of one document:
-the highest counts. No usable label: every score is 0. Other columns stay as they are. Empty table: no rows.
+Nulls and empty texts are learned from and score as a text without words (the bias alone); rows with a null label or doc_id are not learned from. Several labels of one document:
+the highest counts. Rows repeated in full are learned from each time. No usable label: every score is 0. Other columns stay as they are; score() raises if its column's name is taken. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, mix, prefix, slices, span_hash, words
+from tokenloom.llm._text import BYTE_CODE, LOWER, U64, buffers, forget, give_back, lean, mix, prefix, slices, span_hash, words
 
 BITS = 20
 TRAIN_ROWS = 20_000
-TRAIN_BYTES = 200_000
 EPOCHS = 5
 LEAST_TEXTS = 5  # a feature of fewer learned texts has no weight
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
@@ -119,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Mode
     """A model of labels.toxic, from the labelled rows that are not held out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id")  # at most `rows` rows are broadcast
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` rows are broadcast
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
     learned = sample.orderBy(*order).limit(rows).coalesce(1).sortWithinPartitions(*order).select(F.col("text"), F.col("toxic").cast("double").alias("toxic"))
 
@@ -128,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Mode
         if model.fitted:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(model.places, -1)), pa.array(np.append(model.weights.astype(np.float64), model.bias))], names=["place", "weight"])
 
-    table = learned.mapInArrow(fitted, "place long, weight double").toArrow()  # place -1: the bias
+    table = learned.mapInArrow(lean(fitted), "place long, weight double").toArrow()  # place -1: the bias
     places, weights = table.column(0).to_numpy(), table.column(1).to_numpy()
     if not len(places):
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
@@ -136,12 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Mode
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """df with the model's score of text_col, from 0 to 1."""
+    """df with the model's score of text_col, from 0 to 1, as a column of a new name."""
+    if name.lower() in map(str.lower, df.columns):
+        raise ValueError(f"there is a column {name!r} already: choose another name")
 
     @F.arrow_udf("double")
     def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for column in columns:
             yield pa.array(model.scores(*buffers(column)), pa.float64())
+        give_back()
 
     return df.withColumn(name, scores(F.col(text_col)))
 
@@ -152,5 +154,6 @@ def op6(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    name = "_toxic_score"
-    return score(docs, model, name=name).filter(F.col(name) < THRESHOLD).drop(name)
+    """Documents that score below THRESHOLD, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return score(rows, model).filter(F.col("score") < THRESHOLD).select("row.*")
