@@ -8,22 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tokenloom.llm import decontamination, mixing, near_dedup, queries, token_output, toxicity
-from tokenloom.sources.tables import written
+from tokenloom.sources.tables import small_batches, written
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from labels, scores below its threshold."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group."""
+    small_batches(spark)
     return near_dedup.without_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an item of the benchmark, whatever its numbers, names and units."""
+    small_batches(spark)
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -34,6 +37,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in shard files, in ascending doc_id order; the digests read back from them."""
+    small_batches(spark)
     return token_output.op1(spark, docs, queries.vocabulary_file("byte_bpe_50k.json"))
 
 
