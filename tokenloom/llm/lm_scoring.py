@@ -4,9 +4,10 @@ Tokens are words (bytes other than 0x20 and 0x09 to 0x0D, A-Z in lower case) and
 BUCKETS classes by their last bytes. The model gives P(class | two classes before) = softmax(context . Q + b), context = C1 * R[one before] + C2 * R[two before], and
 P(token | class) = (c + 0.5) / (sum over the class's tokens of (c + 0.5), and 0.5 for all unseen ones), so token probabilities add up to 1.
 
-Counts c are over all training texts (crc32 of doc_id as text, mod 5, is not 1). R, Q, C and b are trained by noise-contrastive estimation in numpy over all training tokens: every task
-starts from the same unigram model, passes once over its texts, and the tasks' parameters are averaged by their tokens in Spark. Batched matrix products give the
-class scores of all contexts and their normalisers once (CLASSES x CLASSES tables, bounded), so scoring a token is three lookups.
+Counts c are over all training texts (crc32 of doc_id as text, mod 5, is not 1). R, Q, C and b are trained by noise-contrastive estimation in numpy over all training tokens. Texts, as class
+numbers of two bytes, are dealt by hash into shards and ROUNDS rounds; in a round every shard goes on from the same model and rates over its texts of that round, in the order of their hashes, and the shards'
+parameters are averaged by their tokens in Spark. The number of shards is the root of tokens / SHARD_TOKENS: both the shards and what they hold grow with the corpus, and neither depends on
+partitions, executors or row order, nor does the average, a sum of whole numbers. Batched matrix products give the class scores of all contexts and their normalisers once (CLASSES x CLASSES tables, bounded), so scoring a token is three lookups.
 
 Counts of the KNOWN most frequent tokens go to the workers (16 bytes each, bounded); other tokens meet theirs in a join by hash. Tokens are known by 64-bit hashes.
 
@@ -16,6 +17,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm._text import BYTE_CODE, LOWER, U64, HashIndex, buffers, mix, prefix, slices, span_hash, words, written
+from tokenloom.llm._text import BYTE_CODE, LOWER, U64, HashIndex, buffers, lean, mix, prefix, slices, span_hash, words
+from tokenloom.sources.tables import discard, written
 
 FREQUENT, BUCKETS = 768, 256
 CLASSES = FREQUENT + BUCKETS
 KNOWN = 500_000
-WIDTH, NOISE, BATCH, RATE = 32, 64, 256, 0.5
+WIDTH, NOISE, BATCH, RATE = 32, 64, 256, 2.0
+ROUNDS = 3
+SHARD_TOKENS = 50_000
+SHUFFLED = 200_000  # tokens that are put in random order at once
+FIXED = 2**20  # parameters are summed as multiples of its inverse
 PARTIAL = 1_000_000  # distinct tokens that a counting task holds before it hands counts on
+PARTS = ("r", "q", "c", "b")
 END = np.array([0x656E64], np.uint64)  # the end's hash
 
 
@@ -89,7 +97,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if keys:
             yield made()
 
-    parts = docs.select("text").mapInArrow(rows, "h long, bucket int, c long")
+    parts = docs.select("text").mapInArrow(lean(rows), "h long, bucket int, c long")
     return parts.groupBy("h").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
 
 
@@ -123,16 +131,27 @@ class Model:
         self.c = np.ones((2, WIDTH), np.float32) * np.array([[1.0], [0.5]], np.float32)
         self.noise = (counts + 0.5) / (counts + 0.5).sum()
         self.b = np.log(self.noise).astype(np.float32)
+        self.sums = {k: np.full_like(getattr(self, k), 0.1) for k in PARTS}  # squared gradients so far
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([self.r, self.q, self.c, np.resize(self.b, (CLASSES // WIDTH, WIDTH))]).astype(np.float64)
+        """All of the model and of its rates, in rows of WIDTH."""
+        return np.concatenate([x.reshape(-1, WIDTH) for x in (*(getattr(self, k) for k in PARTS), *self.sums.values())]).astype(np.float64)
 
     def set(self, p: np.ndarray) -> None:
-        self.r, self.q, self.c = (x.astype(np.float32) for x in (p[:CLASSES], p[CLASSES : 2 * CLASSES], p[2 * CLASSES : 2 * CLASSES + 2]))
-        self.b = p[2 * CLASSES + 2 :].ravel().astype(np.float32)
+        at = 0
+        for own in (self.__dict__, self.sums):
+            for k in PARTS:
+                n = own[k].size // WIDTH
+                own[k] = p[at : at + n].reshape(own[k].shape).astype(np.float32)
+                at += n
 
-    def start(self) -> Trainer:
-        return Trainer(self)
+    def copy(self) -> Model:
+        made = Model.__new__(Model)
+        made.__dict__ = {k: v.copy() for k, v in self.__dict__.items()} | {"sums": {k: v.copy() for k, v in self.sums.items()}}
+        return made
+
+    def start(self, seed: int) -> Trainer:
+        return Trainer(self, seed)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(one, two, z): log10 P(t | u, v) = one[u, t] + two[v, t] - z[u, v]; u: the class before, v: the one before that."""
@@ -147,16 +166,15 @@ class Model:
 class Trainer:
     """Noise-contrastive estimation with Adagrad rates, batch by batch."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, seed: int) -> None:
         self.m, self.seen = model, 0
-        self.rng = np.random.default_rng(11)
-        self.sums = {k: np.full_like(getattr(model, k), 0.1) for k in ("r", "q", "c", "b")}
+        self.rng = np.random.default_rng(seed)
         self.cumulative = np.cumsum(model.noise)
         self.log_noise = np.log(NOISE * model.noise).astype(np.float32)
 
     def _step(self, name: str, grad: np.ndarray) -> None:
-        self.sums[name] += grad * grad
-        getattr(self.m, name).__iadd__(np.float32(RATE) * grad / np.sqrt(self.sums[name]))
+        self.m.sums[name] += grad * grad
+        getattr(self.m, name).__iadd__(np.float32(RATE) * grad / np.sqrt(self.m.sums[name]))
 
     def learn(self, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         """Targets t after u (just before) and v (before u)."""
@@ -197,34 +215,68 @@ def _contexts(classes: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray,
     return one, two
 
 
-def train(docs: DataFrame, vocabulary, model: Model, end: int) -> None:
-    """One pass of every task over its texts of docs (text); the parameters are averaged by tokens."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def _coded(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
+    """shard, round, place in the shard's order, and the classes of each text of docs (doc_id, text), as 16-bit numbers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.__dict__ = {k: v.copy() for k, v in shared.value.__dict__.items()}
-        trainer = own.start()
         for batch in batches:
-            buf, offsets = buffers(batch.column(0))
+            buf, offsets = buffers(batch.column(1))
             for a, b in slices(offsets):
                 at = offsets[a : b + 1]
                 h, bucket, n = tokens(buf[at[0] : at[-1]], at - at[0])
-                known = vocabulary.value
-                t = known.classes(known.find(h), bucket)
-                u, v = _contexts(t, n, end)
-                order = trainer.rng.permutation(len(t))
-                trainer.learn(t[order], u[order], v[order])
-        if trainer.seen:
-            p = own.parameters() * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p), dtype=np.int32)), pa.array(np.full(len(p), trainer.seen)), *map(pa.array, np.ascontiguousarray(p.T))], names=["row", "n", *names])
+                classes = vocabulary.value.classes(vocabulary.value.find(h), bucket).astype("<u2")
+                edges = 2 * np.append(0, np.cumsum(n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(classes.tobytes())])], names=["place", "classes"])
+
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    coded = docs.select(key.alias("place"), "text").mapInArrow(lean(rows), "place long, classes binary")
+    return coded.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("place"), F.lit(ROUNDS)).cast("int").alias("round"), "place", "classes")
+
 
+def train(coded: DataFrame, model: Model, end: int, shards: int) -> None:
+    """ROUNDS passes over the parts of coded: each shard trains alone, then the parameters are averaged by tokens."""
+    spark = coded.sparkSession
     names = [f"v{k}" for k in range(WIDTH)]
-    parts = docs.select("text").mapInArrow(rows, "row int, n long, " + ", ".join(f"{x} double" for x in names))
-    got = parts.groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).orderBy("row").toPandas()  # as many rows as the model
-    if len(got):
-        model.set(got[names].to_numpy() / got[["n"]].to_numpy())
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
+            shard, trainer, held, size = None, None, [], 0
+
+            def learn() -> None:
+                nonlocal held, size
+                if held:
+                    t, n = np.concatenate(held).astype(np.int64), np.array([len(x) for x in held])
+                    u, v = _contexts(t, n, end)
+                    order = trainer.rng.permutation(len(t))
+                    trainer.learn(t[order], u[order], v[order])
+                held, size = [], 0
+
+            def made() -> pa.RecordBatch:
+                p = np.round(trainer.m.parameters() * FIXED).astype(np.int64) * trainer.seen
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(p), dtype=np.int32)), pa.array(np.full(len(p), trainer.seen)), *map(pa.array, np.ascontiguousarray(p.T))], names=["row", "n", *names])
+
+            for batch in batches:
+                for own, classes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if own != shard:
+                        learn()
+                        if trainer:
+                            yield made()
+                        shard, trainer = own, shared.value.copy().start(own * ROUNDS + r)
+                    held.append(np.frombuffer(classes.as_buffer(), "<u2"))
+                    size += len(held[-1])
+                    if size >= SHUFFLED:
+                        learn()
+            learn()
+            if trainer:
+                yield made()
+
+        part = coded.filter(F.col("round") == r).repartition(shards, "shard").sortWithinPartitions("shard", "place", "classes").select("shard", "classes")
+        sums = part.mapInArrow(lean(rows), "row int, n long, " + ", ".join(f"{x} long" for x in names))
+        total = [F.sum(F.col(x).cast("decimal(38,0)")) for x in names]
+        got = sums.groupBy("row").agg(F.sum("n").alias("n"), *((t / F.sum("n")).cast("double").alias(x) for t, x in zip(total, names, strict=True))).orderBy("row").toPandas()  # as many rows as the model
+        if len(got):
+            model.set(got[names].to_numpy() / FIXED)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -253,7 +305,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     size[FREQUENT + buckets["bucket"].to_numpy(np.int64)] = buckets["c"].to_numpy(np.float64)
     model = Model(size)
     shared = spark.sparkContext.broadcast(known)
-    train(learned, shared, model, end)
+    shards = max(1, math.isqrt(int(total) // SHARD_TOKENS))
+    coded = written(_coded(docs.filter(~out).select("doc_id", "text"), shared, shards), "coded")
+    train(coded, model, end, shards)
+    discard(coded)
     tables = spark.sparkContext.broadcast(model.tables())
     log_mass = np.log10(mass)
     kind = dict(docs.dtypes)["doc_id"]
@@ -284,7 +339,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 ], names=["uid", "doc_id", "n_tokens", "n_known", "own", "score", "far"])
                 uid += b - a
 
-    scored = written(docs.select("doc_id", "text").mapInArrow(rows, f"uid long, doc_id {kind}, n_tokens long, n_known long, own double, score double, far array<long>"), "scored")
+    scored = written(docs.select("doc_id", "text").mapInArrow(lean(rows), f"uid long, doc_id {kind}, n_tokens long, n_known long, own double, score double, far array<long>"), "scored")
     # rare tokens: their counts come by a join on hashes, and go back to their rows as sums
     far = scored.select("uid", F.explode("far").alias("h")).groupBy("uid", "h").agg(F.count("*").alias("times"))
     rare = far.join(counts.select("h", "c"), "h", "left").groupBy("uid").agg(
