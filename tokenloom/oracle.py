@@ -215,7 +215,7 @@ SQL = {
     "tok_escapes": "SELECT doc_id, '｟' || replace(text, ' ', '％0020') || '｠' AS tokens FROM documents", "detok_escapes": "SELECT doc_id, text FROM documents",
     "char_simple_case": "SELECT doc_id, lower(text) AS lower, replace(upper(replace(text, 'ß', chr(57345))), chr(57345), 'ß') AS upper FROM documents",
     "distinct_tokens": f"SELECT lang, count(DISTINCT token) AS n FROM (SELECT lang, unnest({_list(CONSERVATIVE)}) AS token FROM documents) GROUP BY lang",
-    "sql_functions": f"WITH {_rows(AGGRESSIVE)} SELECT doc_id, count(*) AS n, CAST(sum(l::INT) AS BIGINT) AS n_left, CAST(sum(r::INT) AS BIGINT) AS n_right, CAST(count(*) AS INTEGER) AS rows FROM f GROUP BY doc_id",
+    "sql_functions": f"SELECT doc_id, CAST(len({_list(AGGRESSIVE)}) AS BIGINT) AS n, CAST(len({_list(AGGRESSIVE)}) AS INTEGER) AS n_tokens, {FLAT} AS text FROM documents",
     "io_files": f"SELECT {FLAT} AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY 1",
     "io_bpe_model": _merges(60) + ' SELECT CAST(rank AS INTEGER) AS rank, "left", "right" FROM merges',
     "io_bpe_dictionary": r"SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\p{Z}'), lambda x: x <> '')) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents)) GROUP BY word",

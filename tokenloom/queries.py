@@ -218,13 +218,12 @@ def distinct_tokens(spark, sf_dir):
 
 
 def sql_functions(spark, sf_dir):
-    """Token counts and token rows by the names that SQL has for them."""
+    """Tokens, their number and the text again, by the names that SQL has for them."""
     from tokenloom.functions import sql
 
     sql.register(spark, Loom("aggressive", joiner_annotate=True), "tokenloom_")
     _docs(spark, sf_dir).createOrReplaceTempView("tokenloom_documents")
-    return spark.sql("""SELECT doc_id, first(tokenloom_token_count(text)) AS n, sum(CAST(t.join_left AS INT)) AS n_left, sum(CAST(t.join_right AS INT)) AS n_right, max(t.pos) + 1 AS rows
-     FROM tokenloom_documents, LATERAL tokenloom_tokens(text) AS t GROUP BY doc_id""")
+    return spark.sql("SELECT doc_id, tokenloom_token_count(text) AS n, size(t) AS n_tokens, tokenloom_detokenize(t) AS text FROM (SELECT doc_id, text, tokenloom_tokenize(text) AS t FROM tokenloom_documents)")
 
 
 def io_files(spark, sf_dir):
@@ -248,7 +247,8 @@ def io_bpe_model(spark, sf_dir):
 def io_bpe_dictionary(spark, sf_dir):
     """Counted words written as a dictionary file and read."""
     path = scratch(spark, "dictionary")
-    learn_word_counts(spark, sf_dir).select(F.concat_ws(" ", "word", "n")).write.text(path)
+    lines = _docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("text"))  # a word of a dictionary is on one line
+    word_counts(lines, "text", Loom("space")).select(F.concat_ws(" ", "word", "n")).write.text(path)
     return text_files.bpe_dictionary(spark, path)
 
 
@@ -275,7 +275,7 @@ def stream_windows(spark, sf_dir):
     schema = _docs(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     out, state = scratch(spark, "stream"), scratch(spark, "stream")
-    table = windowed_vocabulary(source, Loom("aggressive"), time="ts", column="event_type", width="1 day", late="2 days")
+    table = windowed_vocabulary(source.withColumn("ts", F.col("ts").cast("timestamp")), Loom("aggressive"), time="ts", column="event_type", width="1 day", late="2 days")
     run = table.select(F.col("window.start").cast("date").alias("day"), "token", "n").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema("day date, token string, n long").parquet(out)
