@@ -71,7 +71,7 @@ def parse(words: list[str], features: list[list[str]] | None, o: Options) -> tup
             continue
         if o.case_feature:
             if not features:
-                raise RuntimeError("Missing case feature")
+                raise RuntimeError("with case_feature, tokens come with their casings as the first feature")
             modifier = Casing.of(features[0][k][:1])
         elif found := read_mark(word):
             kind, casing = found

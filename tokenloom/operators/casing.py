@@ -92,7 +92,7 @@ def restored(text: str, casing: Casing, lang: str = "") -> str:
     if not text or casing in (L, N):
         return text
     if casing is M:
-        raise ValueError("Can't restore mixed casing")
+        raise ValueError("a token of mixed casing has lost its capitals")
     if lang:
         return locale_title(text, lang) if casing is C else locale_upper(text, lang)
     return simple_upper(text[0]) + (text[1:] if casing is C else "".join(map(simple_upper, text[1:])))
