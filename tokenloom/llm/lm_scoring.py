@@ -172,13 +172,15 @@ class Trainer:
         self.cumulative = np.cumsum(model.noise)
         self.log_noise = np.log(NOISE * model.noise).astype(np.float32)
 
-    def _step(self, name: str, grad: np.ndarray) -> None:
-        self.m.sums[name] += grad * grad
-        getattr(self.m, name).__iadd__(np.float32(RATE) * grad / np.sqrt(self.m.sums[name]))
+    def _step(self, name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        """A step of some rows of one parameter, each at its own rate."""
+        sums = self.m.sums[name][rows] + grad * grad
+        self.m.sums[name][rows] = sums
+        getattr(self.m, name)[rows] += np.float32(RATE) * grad / np.sqrt(sums)
 
     def learn(self, t: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         """Targets t after u (just before) and v (before u)."""
-        m = self.m
+        m, cells = self.m, np.arange(WIDTH)
         for a in range(0, len(t), BATCH):
             tt, uu, vv = t[a : a + BATCH], u[a : a + BATCH], v[a : a + BATCH]
             n = len(tt)
@@ -189,17 +191,18 @@ class Trainer:
             good = 1 / (1 + np.exp(np.einsum("ij,ij->i", context, qt) + m.b[tt] - self.log_noise[tt]))
             bad = -1 / (1 + np.exp(-(context @ qn.T + m.b[noise] - self.log_noise[noise])))
             dq = good[:, None] * qt + bad @ qn
-            cells = np.arange(WIDTH)
 
-            def scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-                return np.bincount((rows[:, None] * WIDTH + cells).ravel(), weights=values.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
+            def scatter(name: str, rows: np.ndarray, values: np.ndarray) -> None:
+                used, own = np.unique(rows, return_inverse=True)
+                places = ((own * WIDTH)[:, None] + cells).ravel()
+                self._step(name, (np.bincount(places, weights=values.ravel(), minlength=len(used) * WIDTH).reshape(-1, WIDTH) / n).astype(np.float32), used)
 
-            grad_q = scatter(np.concatenate([tt, noise]), np.concatenate([good[:, None] * context, bad.T @ context])) / n
-            grad_r = scatter(np.concatenate([uu, vv]), np.concatenate([dq * m.c[0], dq * m.c[1]])) / n
             grad_b = np.bincount(np.concatenate([tt, noise]), weights=np.concatenate([good, bad.sum(0)]), minlength=CLASSES).astype(np.float32) / n
             grad_c = np.stack([(dq * ru).sum(0), (dq * rv).sum(0)]) / n
-            for name, grad in (("q", grad_q), ("r", grad_r), ("b", grad_b), ("c", grad_c)):
-                self._step(name, grad)
+            scatter("q", np.concatenate([tt, noise]), np.concatenate([good[:, None] * context, bad.T @ context]))
+            scatter("r", np.concatenate([uu, vv]), np.concatenate([dq * m.c[0], dq * m.c[1]]))
+            self._step("b", grad_b)
+            self._step("c", grad_c)
             self.seen += n
 
 
