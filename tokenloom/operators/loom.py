@@ -220,9 +220,9 @@ class Loom:
     def line_column(self, text: Column | str, delimiter: str = " ", *, training: bool = True) -> Column:
         """The token line: tokens with their features, joined by delimiter."""
         text = F.col(text) if isinstance(text, str) else text
-        if self.is_native:
+        if self.is_native and self.options.mode != "space":  # where texts may hold features
             return native.line(text, self.options, delimiter)
-        if self._by_words(training):
+        if self._by_words(training) and self.options.mode != "space":
             return F.array_join(self.column(text, training=training), delimiter)
 
         def rows(texts, _keys):
