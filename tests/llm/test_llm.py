@@ -96,6 +96,43 @@ def test_op2(spark, docs, none):
     assert repeated_passages.op2(spark, none).count() == 0
 
 
+def test_op2_frequent_passages(spark):
+    """A passage beside ever other text, some of which agree a little: however few rows of a group a worker may have, the bytes are those of every 400-byte window."""
+    r = np.random.default_rng(8)
+    passage, ends = prose(90, 40), [prose(40, k) for k in range(50, 56)]
+    texts = [(k, prose(20, 300 + k) + ends[k % 6][-int(r.integers(1, 200)) :] + passage + ends[k % 5][: int(r.integers(1, 200))] + prose(20, 600 + k)) for k in range(60)]
+    seen = Counter(t[k : k + 400] for _, t in texts for k in range(len(t) - 399))
+    want = {(i, b) for i, t in texts for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for b in range(k, k + 400)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for key_rows in (1, 4, 10**6):
+        found = repeated_passages.repeated_spans(docs, key_rows=key_rows).collect()
+        assert {(x["id"], b) for x in found for s, e in x["spans"] for b in range(s, e)} == want
+
+
+def test_op2_worker_holds_few_groups():
+    """Groups come one after another; spans of the first are out long before the last is read."""
+
+    class Rows:
+        dtypes = [("id", "bigint")]
+        repartition = sortWithinPartitions = lambda self, *columns: self
+        mapInArrow = staticmethod(lambda rows, schema: rows)
+
+    read = []
+
+    def batches(n):
+        for k in range(n):
+            read.append(k)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(1000) // 2 + k * 500), pa.array(np.zeros(1000, np.int64)), pa.array(np.ones(1000, np.int64)), pa.array(np.arange(1000) + k * 1000), pa.array(np.zeros(1000, np.int32)),
+                pa.array(np.full(1000, 40, np.int32)), pa.array(np.full(1000, 31, np.int32)), pa.array([b"x" * 62] * 1000, pa.binary()),
+            ], names=["key", "core", "n", "id", "th", "base", "range", "beside"])
+
+    made = repeated_passages._border_spans(Rows())(batches(60))
+    first = next(made)
+    assert len(read) < 20
+    assert first.num_rows + sum(b.num_rows for b in made) == 60_000
+
+
 def test_op3(spark, docs, none):
     low = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
     split = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(low)) if w] + ["\n"] for i, t, _ in ROWS}
