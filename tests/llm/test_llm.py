@@ -515,6 +515,12 @@ def test_one_document_of_each_class_stays(spark):
     assert near_dedup.without_near_duplicates(table.limit(0)).count() == 0
 
 
+def test_texts_of_the_near_dedup_stage_are_hashed_once(spark):
+    """Two Python nodes in one task would take a worker each, and workers stay."""
+    kept = near_dedup.without_near_duplicates(spark.createDataFrame([(1, prose(40, 3)), (2, None)], "doc_id long, text string"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_alignment_at_the_very_threshold(spark):
     """Similarity of exactly 0.8, all sizes: a text that is the beginning of another (M = n, 5 n = 4 m), and one that differs in its middle (9 M = 4 (n + m))."""
     for n in range(4, 2000, 4):

@@ -355,6 +355,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id (a null one only where all are null), of several the one with the smallest text, once."""
     keys, classes = _classes(docs, "doc_id", "text", THRESHOLD)
     first = keys.join(classes, ["k1", "k2"]).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_id"), F.struct("k1", "k2").alias("_key"), F.col("label").alias("_label")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.arrow_udf(_text_key, "k1 long, k2 long")("text").alias("_of"))
+    # said to be not deterministic: else it runs twice, in two workers, once for a filter on nulls that the join asks for
+    key = F.arrow_udf(_text_key, "k1 long, k2 long").asNondeterministic()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key("text").alias("_of"))
     kept = rows.join(first, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")))
     return kept.groupBy("_label").agg(F.min_by("_row", F.struct("_row.text")).alias("_row")).select("_row.*")
