@@ -78,6 +78,19 @@ def test_op1(spark, docs, none):
     assert token_output.op1(spark, none, path).count() == 0
 
 
+def test_encoder_grows_by_doubling():
+    """What it remembers is not copied for each batch that it learns, and equals the library's ids however often it has grown."""
+    own = token_output.Encoder(vocabulary_file("byte_bpe_50k.json"))
+    held = {id(own.begin): own.begin}
+    for k in range(40):
+        text = " ".join("".join(chr(97 + (1000 * k + i) // 26**d % 26) for d in range(4)) for i in range(1000))
+        column = pa.array([text])
+        ids, counts = own(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), column)
+        assert ids.tolist() == own.library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        held[id(own.begin)] = own.begin
+    assert own.index.n > 1 << 15 and len(held) <= 4
+
+
 def test_op2(spark, docs, none):
     seen = Counter()
     texts = [(i, (t or "").encode()) for i, t, _ in ROWS]

@@ -35,6 +35,7 @@ LANE = 240  # ids packed from one beginning; lanes are packed side by side
 BLOCK_WORDS = 1 << 16
 CACHE = 1_000_000  # distinct pre-tokens that a worker remembers
 LEARNED = 4096  # pre-tokens that go to the library at once
+ENCODED = 1 << 18  # bytes of text that are encoded at once
 SHARD_BYTES = 128 << 20  # of the input, about, where that makes more shards than the session's shuffle partitions
 BLOCK_SCHEMA = "shard int, block int, start long, doc_ids array<{kind}>, counts array<int>, word_offsets array<int>, words binary"
 
@@ -135,6 +136,15 @@ def decode(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, before
 
 
+def _room(held: np.ndarray, used: int, more: int) -> np.ndarray:
+    """held, or the used part of it in a larger array, with room for more: what has not been written takes no memory."""
+    if used + more <= len(held):
+        return held
+    wide = np.empty(max(2 * len(held), used + more), held.dtype)
+    wide[:used] = held[:used]
+    return wide
+
+
 class Encoder:
     """Ids of whole texts: each distinct pre-token goes to the tokenizers library once, texts are put together from them."""
 
@@ -153,8 +163,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.sizes, self.pool, self.used = HashIndex(), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
-        self.begin = np.zeros(0, np.int64)
+        self.index, self.pool, self.used = HashIndex(), np.empty(1 << 16, np.uint32), 0
+        self.begin, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def _learn(self, texts: list[str], h: np.ndarray) -> None:
         for a in range(0, len(texts), LEARNED):  # what the library returns takes some hundred bytes a token until it is read
@@ -163,12 +173,12 @@ class Encoder:
 
     def _keep(self, made: list[list[int]], h: np.ndarray) -> None:
         sizes = np.fromiter(map(len, made), np.int32, len(made))
-        total = int(sizes.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        total, n = int(sizes.sum()), self.index.n
+        self.pool = _room(self.pool, self.used, total)
         self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes, dtype=np.int64) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.begin, self.sizes = _room(self.begin, n, len(made)), _room(self.sizes, n, len(made))
+        self.begin[n : n + len(made)] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.sizes[n : n + len(made)] = sizes
         self.used += total
         self.index.add(h)
 
@@ -247,7 +257,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
             keys = batch.column(0)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, ENCODED):
                 at = offsets[a : b + 1]
                 ids, counts = _with_end(*own(buf[at[0] : at[-1]], at - at[0], batch.column(1).slice(a, b - a)), end_id)
                 words, sizes = encode(ids, counts)
