@@ -19,6 +19,7 @@ from tokenloom.functions.chars import is_placeholder
 from tokenloom.operators import annotate, native
 from tokenloom.operators.bpe import BPE, read_vocabulary
 from tokenloom.operators.casing import lowered
+from tokenloom.operators.chunks import Chunks
 from tokenloom.operators.segmenter import segment
 from tokenloom.operators.spm import SentencePiece
 from tokenloom.operators.subword import SubwordEncoder
@@ -158,6 +159,11 @@ class Loom:
     def _draws(self, training: bool) -> bool:
         return bool(training and (getattr(self.encoder, "dropout", 0) or getattr(self.encoder, "nbest_size", 0)))
 
+    def _by_chunks(self, training: bool) -> Chunks | None:
+        """What cuts texts by their chunks, where options and encoder allow it."""
+        encoder = self.encoder is None or (isinstance(self.encoder, BPE) and not self._draws(training))
+        return Chunks(self) if encoder and Chunks.fit(self.options) else None
+
     def _by_words(self, training: bool) -> bool:
         """Whether the pieces of a native token follow from its string alone, so that each different one is encoded once."""
         o = self.options
@@ -199,7 +205,11 @@ class Loom:
         if tier == "auto" and self._by_words(training):
             return F.arrow_udf(self._word_pieces, "array<string>")(native.tokens(text, self.options))
 
+        by_chunks = self._by_chunks(training)
+
         def rows(texts, keys):
+            if by_chunks is not None:
+                return [None if x is None else by_chunks.strings(x) for x in texts]
             if not self._draws(training):
                 return [None if x is None else self(x, training) for x in texts]
             rngs = (random.Random(f"{seed}:{k}") for k in keys)
@@ -225,11 +235,30 @@ class Loom:
         if self._by_words(training) and self.options.mode != "space":
             return F.array_join(self.column(text, training=training), delimiter)
 
+        by_chunks = self._by_chunks(training)
+
         def rows(texts, _keys):
+            if by_chunks is not None:
+                return [None if x is None else by_chunks.line(x, delimiter)[0] for x in texts]
             return [None if x is None else annotate.write_line(*self.tokenize(x, training=training), delimiter) for x in texts]
 
         return self._udf(rows, text, None, None, pa.string(), "string")
 
+    def counted_line_column(self, text: Column | str) -> Column:
+        """struct<line string, n long>: the token line and the number of its tokens, which need not come back as an array."""
+        text = F.col(text) if isinstance(text, str) else text
+        by_chunks = self._by_chunks(False)
+
+        def rows(texts, _keys):
+            if by_chunks is not None:
+                made = [(None, None) if x is None else by_chunks.line(x) for x in texts]
+            else:
+                cut = [None if x is None else self.tokenize(x, training=False) for x in texts]
+                made = [(None, None) if x is None else (annotate.write_line(*x), len(x[0])) for x in cut]
+            return [{"line": a, "n": b} for a, b in made]
+
+        return self._udf(rows, text, None, None, pa.struct([("line", pa.string()), ("n", pa.int64())]), "struct<line: string, n: long>")
+
     def detokenized(self, tokens: Column | str) -> Column:
         """Text of an array<string> column."""
         tokens = F.col(tokens) if isinstance(tokens, str) else tokens
@@ -252,8 +281,10 @@ class Loom:
     def alphabet_column(self, text: Column | str) -> Column:
         """map<string, long>: characters by script."""
 
+        by_chunks = self._by_chunks(False)
+
         def rows(texts, _keys):
-            return [None if x is None else list(self.alphabets(x).items()) for x in texts]
+            return [None if x is None else list((by_chunks or self).alphabets(x).items()) for x in texts]
 
         return self._udf(rows, F.col(text) if isinstance(text, str) else text, None, None, pa.map_(pa.string(), pa.int64()), "map<string, long>")
 
