@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.operators.annotate import Reader
 from tokenloom.operators.loom import Loom
 
 
 def register(spark: SparkSession, loom: Loom, prefix: str = "") -> None:
     """tokenize(text), detokenize(tokens), token_count(text), and the table function tokens(text) -> (pos, surface, join_left, join_right, casing)."""
 
-    @F.pandas_udf("array<string>")
-    def tokenize(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else loom(x))
+    by_chunks = loom._by_chunks(True)
+    reader = None if loom.options.case_feature else Reader(loom.options)
 
-    @F.pandas_udf("string")
-    def detokenize(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else loom.detokenize(list(x)))
+    def strings(text: str) -> list[str]:
+        return loom(text) if by_chunks is None else by_chunks.strings(text)
 
-    @F.pandas_udf("long")
-    def token_count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else len(loom(x)))
+    @F.arrow_udf("array<string>")
+    def tokenize(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else strings(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    @F.arrow_udf("string")
+    def detokenize(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else reader.text(x) if reader else loom.detokenize(x) for x in lists.to_pylist()], pa.string())
+
+    @F.arrow_udf("long")
+    def token_count(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else len(strings(x)) for x in texts.to_pylist()], pa.int64())
 
     @F.udtf(returnType="pos int, surface string, join_left boolean, join_right boolean, casing string")
     class Tokens:

@@ -28,11 +28,5 @@ def character_histogram(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def token_rows(docs: DataFrame, loom: Loom, key: str, *, text: str = "text") -> DataFrame:
-    """One row for each token: key, pos, surface, join_left, join_right, by the native tier where it covers the options."""
-    from tokenloom.operators import native
-
-    if loom.is_native and loom.options.mode not in ("space", "none"):
-        marked = native.annotated(native.lexemes(F.col(text), loom.options), loom.options)
-    else:
-        marked = loom.token_column(text)
-    return docs.select(key, F.posexplode(marked).alias("pos", "t")).select(key, "pos", "t.surface", "t.join_left", "t.join_right")
+    """One row for each token: key, pos, surface, join_left, join_right."""
+    return docs.select(key, F.posexplode(loom.flag_column(text)).alias("pos", "t")).select(key, "pos", "t.surface", "t.join_left", "t.join_right")

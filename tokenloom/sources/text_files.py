@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.operators.annotate import read_line, write_line
+from tokenloom.operators.annotate import Reader, read_line, write_line
 from tokenloom.operators.loom import Loom
 
 
@@ -39,8 +39,14 @@ def detokenize_text_files(spark: SparkSession, input_path: str | list[str], outp
 
 def detokenized_lines(loom: Loom, delimiter: str = " "):
     """A column function from token lines to texts."""
+    reader = Reader(loom.options)
+
+    def text(line: str) -> str:
+        tokens, features = read_line(line, delimiter)
+        return loom.detokenize(tokens, features) if features or loom.options.case_feature else reader.text(tokens)
+
     def texts(lines: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else loom.detokenize(*read_line(x, delimiter)) for x in lines.to_pylist()], pa.string())
+        return pa.array([None if x is None else text(x) for x in lines.to_pylist()], pa.string())
 
     return F.arrow_udf(texts, "string")
 
