@@ -42,7 +42,7 @@ def test_chunks_are_cut_once(monkeypatch):
     c = Chunks(tl.Loom("aggressive", joiner_annotate=True, case_markup=True, joiner="@@"))
     for _ in range(50):
         assert c.strings("Жук WORLD, soЖ.")[1] == "жук" and c.line("Жук WORLD, soЖ.")[1] == 10
-    assert sorted(seen) == ["soЖ.", "Жук"]  # letters to ÿ don't come to the segmenter
+    assert {x: seen.count(x) for x in set(seen)} == {"soЖ.": 1, "Жук": 1} and len(seen) == 2  # letters to ÿ don't come to the segmenter
 
 
 def test_a_sign_after_one_capital_begins_a_token():
